@@ -21,11 +21,13 @@ lost leaves nothing behind, and binaryFile reads them back.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -35,7 +37,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import new_path, ready, stored
-from lodestone.llm.pretokens import Memo
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 MAGIC = b"LSDC1\0\0\0"
@@ -52,11 +53,21 @@ def public_tokenizer(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordEncoder:
     """Ids of texts with a tokenizer file whose pre-tokenizer never joins across white space.
 
     Each stretch between white space is encoded by the library once while it is remembered;
-    its normalizer works on characters and what combines with them, never over a space.
+    its normalizer works on characters and what combines with them, never over a space.  A
+    stretch of Latin letters, or one before full stops and commas, is one pre-token whose
+    normal form is its small letters; many of those at once go to the library's model, and
+    the mark that ends a word's last token parts their ids again.
     """
 
     def __init__(self, path: str):
@@ -64,11 +75,57 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Memo(lambda word: np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), WORDS)
-
-    def ids(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers, without an end."""
-        return b"".join(map(self.words.__getitem__, _SPACES.sub(" ", text or "").split(" ")))
+        spec = json.loads(self.tokenizer.to_str())
+        self.suffix = spec["model"].get("end_of_word_suffix")
+        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.suffix:
+            self.final[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(self.suffix)]] = True
+        self.bytes = byte_characters()
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def by_library(self, words: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Work out stretches that aren't remembered."""
+        letters, tails, others = [], [], []
+        for word in words:
+            core = word.rstrip(".,")
+            if self.suffix and core.isalpha() and (core.isascii() or max(core) < "\u0130"):  # below it, letters have one-letter small forms
+                letters.append((word, core.lower()))
+                if len(core) < len(word):
+                    tails.append((word, word[len(core) :]))
+            else:
+                others.append(word)
+        if letters:
+            cores = [x if x.isascii() else x.encode().decode("latin-1").translate(self.bytes) for _, x in letters]
+            ids = np.array(self.model.encode_batch_fast([cores], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(letters):
+                raise ValueError("a word of the vocabulary ends without its mark")
+            data, at = ids.tobytes(), 0
+            for (word, _), end in zip(letters, (4 * ends).tolist(), strict=True):
+                self.words[word] = data[at:end]
+                at = end
+            for word, tail in tails:
+                if tail not in self.tails:
+                    self.tails[tail] = self.by_library([tail])[0]
+                self.words[word] += self.tails[tail]
+        self.words.update(zip(others, self.by_library(others), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers, without an end."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), 64):
+            cut = [_SPACES.sub(" ", x or "").split(" ") for x in texts[at : at + 64]]
+            if len(self.words) > WORDS:
+                self.words.clear()
+                self.tails.clear()
+            self.learn(set().union(*cut) - self.words.keys())
+            out += [b"".join(map(self.words.__getitem__, x)) for x in cut]
+        return out
 
 
 @cache
@@ -192,9 +249,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["segment"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), e.encode(batch.column(1).to_pylist()), strict=True):
                 doc_ids.append(doc_id)
-                pieces.append(e.ids(text) + end)
+                pieces.append(ids + end)
                 total += len(pieces[-1]) // 4
                 if total >= SEGMENT:
                     yield close()
