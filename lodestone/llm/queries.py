@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.decontaminate import contaminated, contamination
 from lodestone.llm.piece_codec import encode_decode
+from lodestone.llm.secret_scan import BASE, listed, scan
+from lodestone.llm.sharding import shard_documents
 from lodestone.llm.simhash import near_duplicates
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.token_store import token_files
+from lodestone.llm.topk import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +25,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    base = F.filter("spans", lambda x: x["rank"] < len(BASE))
+
+    def count(rank: int):
+        return F.size(F.filter("spans", lambda x: x["rank"] == rank)).cast("long")
+
+    counts = [count(i).alias(f"n_{rule.kind}") for i, rule in enumerate(BASE)]
+    return rows.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))[0]
 
@@ -35,11 +50,31 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    listed_items = F.sha2(F.array_join("items", ","), 256)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed_items.alias("items_sha256"), contaminated().alias("contaminated"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shard_documents(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_secret_scan": op2_secret_scan,
     "op3_token_store": op3_token_store,
     "op4_piece_codec": op4_piece_codec,
     "op5_simhash": op5_simhash,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_topk": op8_topk,
+    "op10_sharding": op10_sharding,
 }
 
 #: DuckDB SQL for the queries that SQL can express at this size.
