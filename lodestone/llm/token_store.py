@@ -42,8 +42,8 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 1
 MAGIC = b"LSDC1\0\0\0"
 HEAD = struct.Struct("<8sQIIQQQ")
 BLOCK = 512
-#: Tokens after which a segment is closed; words that a worker remembers (about 60 MB).
-SEGMENT, WORDS = 1 << 20, 300_000
+#: Tokens after which a segment is closed; words that a worker remembers (about 200 MB).
+SEGMENT, WORDS = 1 << 20, 1_000_000
 _SPACES = re.compile("[ \t\n\r]")
 
 
