@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.decontaminate import contaminated, contamination
+from lodestone.llm.langid import identify
 from lodestone.llm.piece_codec import encode_decode
 from lodestone.llm.secret_scan import BASE, listed, scan
 from lodestone.llm.sharding import shard_documents
@@ -15,6 +16,7 @@ from lodestone.llm.simhash import near_duplicates
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.token_store import token_files
 from lodestone.llm.topk import top_k
+from lodestone.llm.toxicity import folded, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +58,22 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed_items.alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", F.coalesce(folded(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = identify(docs, docs.filter(folded(3) != 1).select("text", "lang"))
+    return rows.select("doc_id", F.coalesce(folded(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard_documents(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -73,7 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_piece_codec": op4_piece_codec,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
+    "op7_toxicity": op7_toxicity,
     "op8_topk": op8_topk,
+    "op9_langid": op9_langid,
     "op10_sharding": op10_sharding,
 }
 
