@@ -42,8 +42,8 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 1
 MAGIC = b"LSDC1\0\0\0"
 HEAD = struct.Struct("<8sQIIQQQ")
 BLOCK = 512
-#: Tokens after which a segment is closed; words that a worker remembers (about 200 MB).
-SEGMENT, WORDS = 1 << 20, 1_000_000
+#: Tokens after which a segment is closed; words that a worker remembers (about 100 MB).
+SEGMENT, WORDS = 1 << 20, 500_000
 _SPACES = re.compile("[ \t\n\r]")
 
 
@@ -123,7 +123,7 @@ class WordEncoder:
             if len(self.words) > WORDS:
                 self.words.clear()
                 self.tails.clear()
-            self.learn(set().union(*cut) - self.words.keys())
+            self.learn([w for w in set().union(*cut) if w not in self.words])
             out += [b"".join(map(self.words.__getitem__, x)) for x in cut]
         return out
 
