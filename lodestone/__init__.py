@@ -1,0 +1 @@
+"""lodestone: retrieval and document analytics as DataFrame operators on Spark."""
