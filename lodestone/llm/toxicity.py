@@ -9,9 +9,11 @@ what the stem means into words that were never seen: other endings, misspellings
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,9 @@ from lodestone.llm.common import ready
 from lodestone.llm.pretokens import Memo
 
 #: Labelled texts of each class that the driver trains on at most: those whose hash is least.
-TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000
-#: N-gram lengths; texts, and share of texts, an n-gram must occur in; size of vectors.
-GRAMS, SEEN_IN, SEEN_SHARE, SIZE = (3, 4, 5, 6), 4, 0.01, 8
+TRAIN_TOXIC, TRAIN_CLEAN = 1200, 2400
+#: N-gram lengths; texts, and share of texts, an n-gram must occur in; size of vectors; buckets that n-grams are hashed to.
+GRAMS, SEEN_IN, SEEN_SHARE, SIZE, BUCKETS = (3, 4, 5, 6), 4, 0.01, 4, 1 << 20
 #: Share of all words at which a word weighs half.
 RARE = 1e-3
 #: Standard errors that don't count as evidence; margin between the classes at the start; steps and rates of Adam.
@@ -38,23 +40,26 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def grams_of(word: str) -> list[str]:
-    """Character n-grams of a word with its ends marked, and the word itself."""
-    marked = f"<{word}>"
-    return [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)] + [marked]
+def buckets_of(word: str) -> list[int]:
+    """Buckets of the character n-grams of a word with its ends marked, and of the word itself."""
+    marked = f"<{word}>".encode("utf-32-le", "surrogatepass")
+    n = len(marked) // 4
+    parts = [marked[4 * i : 4 * (i + k)] for k in GRAMS for i in range(n - k + 1)]
+    return [crc32(x) % BUCKETS for x in (*parts, marked)]
 
 
 @dataclass
 class Model:
-    """value: what an n-gram's vector adds to the margin of the toxic class."""
+    """value: what each bucket's vector adds to the margin of the toxic class; NaN where too few texts had one."""
 
-    value: dict[str, float]
+    value: np.ndarray
     bias: float
     weight: dict[str, float]
 
     def word(self, word: str) -> float:
-        known = [self.value[g] for g in grams_of(word) if g in self.value]
-        return self.weight.get(word, 1.0) * sum(known) / len(known) if known else 0.0
+        values = self.value[buckets_of(word)]
+        known = values[~np.isnan(values)]
+        return self.weight.get(word, 1.0) * float(known.mean()) if len(known) else 0.0
 
     def score(self, values: list[float]) -> float:
         """From the values of all words of a text."""
@@ -62,17 +67,25 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
 
 
-def evidence(text: np.ndarray, gram: np.ndarray, share: np.ndarray, label: np.ndarray, grams: int) -> np.ndarray:
+def constant(bias: float) -> Model:
+    return Model(np.full(BUCKETS, np.nan, np.float32), bias, {})
+
+
+def evidence(shares: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray, grams: int) -> np.ndarray:
     """What the share of a text's words that hold an n-gram tells for sure about the class.
 
     That is the difference of the classes' means, less `DOUBT` standard errors, over the
-    variance within classes (a diagonal discriminant).  Entries (text, gram, share) may repeat.
+    variance within classes (a diagonal discriminant).  shares: n-grams and shares of each text.
     """
-    cell, at = np.unique(text * grams + gram, return_inverse=True)
-    value = np.bincount(at, share)
-    n, of_class, gram = np.bincount(label, minlength=2), label[cell // grams], cell % grams
-    mean, square = (np.stack([np.bincount(gram[of_class == y], (value**k)[of_class == y], grams) / n[y] for y in (0, 1)]) for k in (1, 2))
-    spread = np.maximum(square - mean**2, 0)
+    first, second = np.zeros((2, grams)), np.zeros((2, grams))
+    for (gram, share), y in zip(shares, label, strict=True):
+        own, at = np.unique(gram, return_inverse=True)
+        value = np.bincount(at, share, len(own))
+        first[y, own] += value
+        second[y, own] += value**2
+    n = np.bincount(label, minlength=2)
+    mean = first / n[:, None]
+    spread = np.maximum(second / n[:, None] - mean**2, 0)
     error = np.sqrt((spread / n[:, None]).sum(axis=0))
     sure = np.sign(mean[1] - mean[0]) * np.maximum(0, np.abs(mean[1] - mean[0]) - DOUBT * error)
     within = (spread * n[:, None]).sum(axis=0) / n.sum()
@@ -88,26 +101,31 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
     at nothing.
     """
     if not texts or len(set(labels)) < 2:
-        return Model({}, 5.0 if labels and all(labels) else -5.0, {})
+        return constant(5.0 if labels and all(labels) else -5.0)
     label = np.array(labels, np.int64)
     cut = [Counter(words_of(t)) for t in texts]
-    index = {w: i for i, w in enumerate(dict.fromkeys(w for x in cut for w in x))}
-    spelled = [grams_of(w) for w in index]
-    named: dict[str, int] = {}
-    gram_of = np.array([named.setdefault(g, len(named)) for x in spelled for g in x], np.int64)
-    word_of = np.repeat(np.arange(len(index)), [len(x) for x in spelled])
-    bounds = np.concatenate(([0], np.cumsum([len(x) for x in spelled])))
-    held = np.zeros((len(named), 2), np.int64)
-    for x, y in zip(cut, labels, strict=True):
-        held[np.unique(np.concatenate([gram_of[bounds[i] : bounds[i + 1]] for i in map(index.__getitem__, x)])) if x else [], y] += 1
-    shared = held.sum(axis=1) >= max(SEEN_IN, SEEN_SHARE * len(cut))
+    index: dict[str, int] = {}
+    spelled, bounds = array("i"), array("q", [0])
+    for w in (w for x in cut for w in x):
+        if w not in index:
+            index[w] = len(index)
+            spelled.extend(buckets_of(w))
+            bounds.append(len(spelled))
+    gram_of, bounds = np.frombuffer(spelled, np.int32), np.frombuffer(bounds, np.int64)
+    held = np.zeros(BUCKETS, np.int32)
+    for x in cut:
+        if x:
+            held[np.unique(np.concatenate([gram_of[bounds[i] : bounds[i + 1]] for i in map(index.__getitem__, x)]))] += 1
+    shared = held >= max(SEEN_IN, SEEN_SHARE * len(cut))
     if not shared.any():
-        return Model({}, 0.0, {})
-    number = np.cumsum(shared) - 1
+        return constant(0.0)
+    number = np.cumsum(shared, dtype=np.int32) - 1
     kept = shared[gram_of]
-    word_of, gram_of = word_of[kept], number[gram_of[kept]]
-    names = [g for g, keep in zip(named, shared, strict=True) if keep]
-    weight = (1 / np.maximum(1, np.bincount(word_of, minlength=len(index)))).astype(np.float32)
+    word_of = np.repeat(np.arange(len(index), dtype=np.int32), np.diff(bounds))[kept]
+    gram_of = number[gram_of[kept]]
+    spans = np.searchsorted(word_of, np.arange(len(index) + 1))
+    names = np.flatnonzero(shared)
+    weight = (1 / np.maximum(1, np.diff(spans))).astype(np.float32)
     text = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
     words = np.array([index[w] for x in cut for w in x], np.int64)
     total = Counter()
@@ -117,12 +135,17 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
     rare = {w: RARE / (RARE + n / all_words) for w, n in total.items()}
     times = np.array([n * rare[w] for x in cut for w, n in x.items()], np.float32) / np.repeat([max(1, x.total()) for x in cut], [len(x) for x in cut]).astype(np.float32)
 
+    def shares() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at = 0
+        for x in cut:
+            own, share = words[at : at + len(x)], times[at : at + len(x)]
+            at += len(x)
+            parts = [gram_of[spans[i] : spans[i + 1]] for i in own]
+            yield (np.concatenate(parts), np.repeat(share, [len(p) for p in parts])) if parts else (np.zeros(0, np.int32), np.zeros(0))
+
     rng = np.random.default_rng(SEED)
     grams = rng.normal(0, 0.01, (len(names), SIZE)).astype(np.float32)
-    spans = np.searchsorted(word_of, np.arange(len(index) + 1))
-    long = spans[words + 1] - spans[words]
-    first = np.repeat(spans[words] - np.concatenate(([0], np.cumsum(long)[:-1])), long)
-    grams[:, 0] = evidence(np.repeat(text, long), gram_of[first + np.arange(len(first))], np.repeat(times, long), label, len(names))
+    grams[:, 0] = evidence(shares(), label, len(names))
     softmax = rng.normal(0, 0.01, (SIZE, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
 
@@ -163,29 +186,31 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    value = grams @ (softmax[:, 1] - softmax[:, 0])
-    return Model({g: float(x) for g, x in zip(names, value.tolist(), strict=True)}, float(bias[1] - bias[0]), {w: x for w, x in rare.items() if x < 0.95})
+    value = np.full(BUCKETS, np.nan, np.float32)
+    value[names] = grams @ (softmax[:, 1] - softmax[:, 0])
+    return Model(value, float(bias[1] - bias[0]), {w: x for w, x in rare.items() if x < 0.95})
 
 
-def cut_margin(margins: np.ndarray, label: np.ndarray) -> float:
-    """The margin that errs least on these texts, in the middle between its neighbours."""
+def cut_margin(margins: np.ndarray, label: np.ndarray, clean_weight: float = 1.0) -> float:
+    """The margin that errs least on these texts, in the middle between its neighbours; a clean text counts as clean_weight texts."""
     order = np.argsort(margins, kind="stable")
     margins, label = margins[order], label[order]
-    errors = np.concatenate(([0], np.cumsum(label))) + np.concatenate(([0], np.cumsum(label[::-1] == 0)))[::-1]
+    errors = np.concatenate(([0], np.cumsum(label))) + clean_weight * np.concatenate(([0], np.cumsum(label[::-1] == 0)))[::-1]
     best = np.flatnonzero(errors == errors.min())
     k = int(best[len(best) // 2])
     return float(margins[0] - 1 if k == 0 else margins[-1] + 1 if k == len(margins) else (margins[k - 1] + margins[k]) / 2)
 
 
-def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
-    """Fit on two thirds of the texts and set the point of even chances on the others, which fitting hasn't seen."""
+def train(texts: list[str], labels: list[int], clean_weight: float = 1.0, steps: int = STEPS) -> Model:
+    """Fit on two thirds of the texts and set the point of even chances on the others, which
+    fitting hasn't seen; clean_weight makes up for classes that were sampled unequally."""
     held = [i for i in range(len(texts)) if i % 3 == 0]
     if len({labels[i] for i in held}) < 2 or len({y for i, y in enumerate(labels) if i % 3}) < 2:
         return fit(texts, labels, steps)
     model = fit([x for i, x in enumerate(texts) if i % 3], [y for i, y in enumerate(labels) if i % 3], steps)
     memo = Memo(model.word, WORDS)
     margins = np.array([sum(v) / max(1, len(v)) for v in ([memo[w] for w in words_of(texts[i])] for i in held)])
-    model.bias = -cut_margin(margins, np.array([labels[i] for i in held]))
+    model.bias = -cut_margin(margins, np.array([labels[i] for i in held]), clean_weight)
     return model
 
 
@@ -194,8 +219,9 @@ def folded(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC)) -> tuple[list[str], list[int]]:
-    """Texts and labels of the labelled rows that may be learnt from, each class's of least hash up to its bound."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC)) -> tuple[list[str], list[int], float]:
+    """Texts and labels of the labelled rows that may be learnt from, each class's of least hash
+    up to its bound, and how many clean ones a chosen one stands for, by toxic ones."""
     known = labels.filter(F.col("toxic").isin(0, 1) & (folded(5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for y, n in enumerate(most):
@@ -203,7 +229,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (T
         chosen = part if chosen is None else chosen.union(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     found = rows.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # sum(most) rows at most
-    return [x or "" for x in found.column("text").to_pylist()], found.column("toxic").to_pylist()
+    there = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    stood_for = [max(1, there.get(y, 0) / n) for y, n in enumerate(most)]
+    return [x or "" for x in found.column("text").to_pylist()], found.column("toxic").to_pylist(), stood_for[0] / stood_for[1]
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
