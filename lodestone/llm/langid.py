@@ -16,16 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import ready, stored
-from lodestone.llm.pretokens import Memo
 
 GRAMS, LENGTH = (1, 2, 3), 300
-#: Languages that profiles may have; words and n-grams that a worker gathers before it hands them on.
-LANGUAGES, GATHERED, WORDS = 1000, 200_000, 150_000
+#: Languages that profiles may have; words that a worker gathers before it hands their n-grams on.
+LANGUAGES, GATHERED = 1000, 200_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -35,7 +33,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams_of(word: str) -> list[str]:
-    """Character n-grams of a word between blanks; the blank alone doesn't count."""
+    """Character n-grams of a word between blanks; the blank alone doesn't count.  gram_ids depends on GRAMS as they are."""
     marked = f" {word} "
     return [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1) if n > 1 or marked[i] != " "]
 
@@ -81,13 +79,28 @@ def learn(docs: DataFrame, length: int = LENGTH) -> dict[str, list[str]]:
     return profiles
 
 
+def gram_id(gram: str) -> int:
+    """The code points of an n-gram, 21 bits each, in one integer."""
+    out = 0
+    for char in gram:
+        out = out << 21 | ord(char)
+    return out
+
+
+def gram_ids(words: list[str]) -> np.ndarray:
+    """Ids of all n-grams of the words, as grams_of gives them, from one array of code points."""
+    codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    letter = codes != 32
+    pairs = codes[:-1] << 21 | codes[1:]
+    return np.concatenate([codes[letter], pairs, (pairs[:-1] << 21 | codes[2:])[letter[1:-1]]])
+
+
 class Profiles:
     """Out-of-place distances of a text to every profile at once."""
 
     def __init__(self, profiles: dict[str, list[str]], length: int = LENGTH):
         self.names, self.length = sorted(profiles), length
-        self.word = Memo(lambda w: np.array([xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass")) >> 1 for g in grams_of(w)], np.int64), WORDS)
-        ids = {n: [xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass")) >> 1 for g in profiles[n]] for n in self.names}
+        ids = {n: [gram_id(g) for g in profiles[n]] for n in self.names}
         self.known = np.unique(np.array([i for x in ids.values() for i in x], np.int64))
         self.ranks = np.full((len(self.known) + 1, len(self.names)), -1, np.int64)
         for k, n in enumerate(self.names):
@@ -95,13 +108,11 @@ class Profiles:
 
     def language(self, text: str | None) -> tuple[str, float]:
         """The nearest language, the first by name of equals, and 1 less its distance as a share of the farthest possible."""
-        counts = Counter(words_of(text))
-        if not counts or not self.names:
+        words = words_of(text)
+        if not words or not len(self.known):
             return UNKNOWN, 0.0
-        parts = list(map(self.word.__getitem__, counts))
-        grams, at = np.unique(np.concatenate(parts), return_inverse=True)
-        n = np.bincount(at, np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), list(map(len, parts))))
-        top = grams[np.lexsort((grams, -n))[: self.length]]
+        grams, n = np.unique(gram_ids(words), return_counts=True)
+        top = grams[np.argsort(-n, kind="stable")[: self.length]]  # ties in order of the id
         place = np.minimum(np.searchsorted(self.known, top), len(self.known) - 1)
         ranks = self.ranks[np.where(self.known[place] == top, place, len(self.known))]
         off = np.where(ranks < 0, self.length, np.abs(ranks - np.arange(len(top))[:, None]))
