@@ -51,6 +51,35 @@ def _moved(state: DataFrame, moves: DataFrame) -> DataFrame:
     return state.union(gone).union(come).groupBy("_key_a", "_key_b", "shard").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
+def _best(state: DataFrame) -> DataFrame:
+    """target and there, the shard that holds most of a group; which of equals, its hash says, so that no shard draws all ties."""
+    tie = F.xxhash64("_key_a", "_key_b", "shard")
+    return state.groupBy("_key_a", "_key_b").agg(F.max(F.struct("n", tie.alias("h"), "shard")).alias("x")).select("_key_a", "_key_b", F.col("x.shard").alias("target"), F.col("x.n").alias("there"))
+
+
+def _whole_groups(state: DataFrame, room: list[int]) -> DataFrame:
+    """Moves that unite groups in their fullest shard with room for all of them; a group is admitted whole or not at all."""
+    key = ["_key_a", "_key_b"]
+    sized = state.join(state.groupBy(*key).agg(F.sum("n").alias("all")), key)
+    apart = sized.filter(F.col("n") < F.col("all"))
+    best = _best(apart.filter(_at(room, F.col("shard")) >= F.col("all") - F.col("n")))
+    need = best.join(state.groupBy(*key).agg(F.sum("n").alias("all")), key).select(*key, "target", (F.col("all") - F.col("there")).alias("need"))
+    ranked = running_total(need, ["target"], key, "need", "before", GROUP_BUCKETS)
+    admitted = ranked.filter(F.col("before") + F.col("need") <= _at(room, F.col("target"))).select(*key, "target")
+    return state.join(admitted, key).filter(F.col("shard") != F.col("target")).select(*key, "shard", "target", "n")
+
+
+def _parts_of_groups(state: DataFrame, room: list[int]) -> DataFrame:
+    """Moves of as many documents as fit to the fullest shard of their group that has any room."""
+    key = ["_key_a", "_key_b"]
+    asked = state.join(_best(state.filter(_at(room, F.col("shard")) > 0)), key)
+    mine, its = F.xxhash64(*key, "shard"), F.xxhash64(*key, "target")
+    asked = asked.filter((F.col("n") < F.col("there")) | ((F.col("n") == F.col("there")) & (mine < its)))
+    ranked = running_total(asked, ["target"], [*key, "shard"], "n", "before", GROUP_BUCKETS)
+    fits = F.least(F.col("n"), F.greatest(F.lit(0).cast("long"), _at(room, F.col("target")) - F.col("before")))
+    return ranked.select(*key, "shard", "target", fits.alias("n")).filter("n > 0")
+
+
 def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
     """Rounds of balanced label propagation over (_key_a, _key_b, shard, n); at the end no shard is over its quota."""
     spark, shards = state.sparkSession, len(quota)
@@ -58,18 +87,16 @@ def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
     state, path = stored(state, "shard-counts")
     for _ in range(rounds):
         room = [q - n for q, n in zip(quota, _loads(state, shards), strict=True)]
-        best = state.filter(_at(room, F.col("shard")) > 0).groupBy(*key).agg(F.max(F.struct("n", (-F.col("shard")).alias("m"))).alias("x"))
-        asked = state.join(best, key).select(*key, "shard", "n", (-F.col("x.m")).alias("target"), F.col("x.n").alias("there"))
-        asked = asked.filter((F.col("n") < F.col("there")) | ((F.col("n") == F.col("there")) & (F.col("shard") > F.col("target"))))
-        ranked = running_total(asked, ["target"], [*key, "shard"], "n", "before", GROUP_BUCKETS)
-        fits = F.least(F.col("n"), F.greatest(F.lit(0).cast("long"), _at(room, F.col("target")) - F.col("before")))
-        moves, moves_path = stored(ranked.select(*key, "shard", "target", fits.alias("n")).filter("n > 0"), "shard-moves")
-        done = moves.isEmpty()
-        if not done:
-            after, after_path = stored(_moved(state, moves), "shard-counts")
-            discard(spark, path)
-            state, path = after, after_path
-        discard(spark, moves_path)
+        for wishes in (_whole_groups, _parts_of_groups):
+            moves, moves_path = stored(wishes(state, room), "shard-moves")
+            done = moves.isEmpty()
+            if not done:
+                after, after_path = stored(_moved(state, moves), "shard-counts")
+                discard(spark, path)
+                state, path = after, after_path
+            discard(spark, moves_path)
+            if not done:
+                break
         if done:
             break
     load = _loads(state, shards)
