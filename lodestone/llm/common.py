@@ -70,6 +70,17 @@ def text_key() -> list[Column]:
     return [F.xxhash64(text).alias("_key_a"), F.xxhash64(F.lit(1), text).alias("_key_b")]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """_row with all columns but the text, and text: names of theirs can't clash with an operator's own."""
+    others = [F.col(f"`{c}`").alias(c) for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others).alias("_row") if others else F.struct(F.lit(0)).alias("_row"), "text")
+
+
+def unpacked(docs: DataFrame, leave: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of docs, in order, from what packed() made of it; those an operator gives itself are left."""
+    return [F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in leave]
+
+
 def attach(left: DataFrame, side: DataFrame, on: list[str], rows: int, most_rows: int) -> DataFrame:
     """Left outer join of a side of `rows` counted rows; it is sent to all executors only up to
     most_rows rows, beyond that both are shuffled and adaptive execution splits hot keys."""

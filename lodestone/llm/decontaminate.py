@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import attach, stored, text_key
+from lodestone.llm.common import attach, packed, stored, text_key, unpacked
 from lodestone.llm.spans import regex_spans
 
 WINDOW, SHINGLE = 13, 3
@@ -108,8 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """
     found, _ = stored(candidates(docs, benchmark, window, shingle, most_shingles), "contaminated")
     rows = found.agg(F.sum(F.size("_hits")).alias("n")).first()["n"] or 0
-    own = [c for c in docs.columns if c not in ("n_words", "n_hit", "items")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in own], words_of(F.col("text")).alias("_words"), *text_key())
+    keyed = packed(docs).select("_row", "text", words_of(F.col("text")).alias("_words"), *text_key())
     marked = attach(keyed, found, ["_key_a", "_key_b"], rows, most_candidates)
     each = F.transform(F.col("_hits"), lambda h: F.struct(h["item_id"].alias("item_id"), overlap(F.col("_words"), h, window).alias("at")))
     true = F.filter(each, lambda x: F.size(x["at"]) > 0)
@@ -117,7 +116,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     items = F.array_sort(F.array_distinct(F.filter(F.transform(true, lambda x: x["item_id"].cast("string")), lambda x: x.isNotNull())))
     none = F.col("_hits").isNull()
     return marked.select(
-        *[F.col(f"`{c}`") for c in own],
+        *unpacked(docs, ("n_words", "n_hit", "items")),
         F.size("_words").cast("long").alias("n_words"),
         F.when(none, F.lit(0)).otherwise(covered(places)).cast("long").alias("n_hit"),
         F.when(none, F.array().cast("array<string>")).otherwise(items).alias("items"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.decontaminate import contaminated, contamination
 from lodestone.llm.langid import identify
+from lodestone.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from lodestone.llm.piece_codec import encode_decode
 from lodestone.llm.secret_scan import BASE, listed, scan
 from lodestone.llm.sharding import shard_documents
@@ -91,6 +92,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_sharding": op10_sharding,
 }
-
-#: DuckDB SQL for the queries that SQL can express at this size.
-ORACLE_SQL: dict[str, str] = {}

@@ -23,7 +23,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import attach, stored, text_key
+from lodestone.llm.common import attach, packed, stored, text_key, unpacked
 from lodestone.llm.spans import SPAN, regex_spans
 
 
@@ -177,7 +177,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, most_rows: int = SENT
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     index = trigram_index(docs, set().union(*map(grams_of, queries.values())))
     found, _ = stored(candidates(index, rules), "secret-candidates")
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *text_key())
+    keyed = packed(docs).select("_row", "text", *text_key())
     marked = attach(keyed, found, ["_key_a", "_key_b"], found.count(), most_rows)
     text, nothing = F.coalesce(F.col("text"), F.lit("")), F.array().cast(SPAN)
 
@@ -188,7 +188,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, most_rows: int = SENT
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), x["end"].alias("end")))
 
     spans = F.array_sort(F.concat(*[of_rule(i, rule) for i, rule in enumerate(rules)]))
-    return marked.select(*[F.col(f"`{c}`") for c in docs.columns if c != "spans"], spans.alias("spans"))
+    return marked.select(*unpacked(docs, ("spans",)), spans.alias("spans"))
 
 
 def listed(spans: Column) -> Column:

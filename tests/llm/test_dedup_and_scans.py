@@ -1,0 +1,127 @@
+"""SimHash classes, secrets and contamination against plain versions."""
+
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import decontaminate, secret_scan, simhash
+from tests.llm import brute
+
+
+def test_covering_masks_cover():
+    rng = np.random.default_rng(0)
+    for positions in (list(range(64)), [p for p in range(64) if p % 9 < 4]):
+        masks = simhash.covering_masks(positions)
+        assert len(masks) == 7
+        for _ in range(2000):
+            pair = rng.choice(positions, 2)
+            flipped = int(1 << int(pair[0])) | int(1 << int(pair[1]))
+            assert any(not m & flipped for m in masks)
+
+
+def test_second_level_is_bounded():
+    for mask in simhash.covering_masks(list(range(64))):
+        rest = [p for p in range(64) if not mask >> p & 1]
+        assert all(len(rest) - m.bit_count() <= 12 for m in simhash.covering_masks(rest))
+
+
+@pytest.mark.parametrize("most", [simhash.BUCKET, 3])
+def test_near_duplicates(spark, mixed, most):
+    rng = np.random.default_rng(1)
+    base = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 60)) for _ in range(3)]
+    near = [(20000 + 100 * k + i, " ".join([*b.split()[: 59 - i % 4], f"w{i}"])) for k, b in enumerate(base) for i in range(60)]
+    docs = mixed.union(spark.createDataFrame(near, mixed.schema))
+    rows = simhash.near_duplicates(docs, most=most).collect()
+    given = docs.collect()
+    prints = [brute.simhash(r["text"]) for r in given]
+    groups = {}
+    for r, c in zip(given, brute.classes(prints), strict=True):
+        groups.setdefault(c, []).append(r["doc_id"])
+    wanted = sorted((r["doc_id"] or -1, p, min((x for x in groups[c] if x is not None), default=-1)) for r, p, c in zip(given, prints, brute.classes(prints), strict=True))
+    assert sorted((r["doc_id"] or -1, r["fp"] % 2**64, -1 if r["component_id"] is None else r["component_id"]) for r in rows) == wanted
+    assert len({r["component_id"] for r in rows}) < len(rows)
+
+
+def test_near_duplicates_of_odd_tables(odd):
+    assert simhash.near_duplicates(odd).columns == ["doc_id", "fp", "component_id"]
+    assert simhash.near_duplicates(odd).count() == odd.count()
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_components_of_long_chains(spark):
+    links = spark.range(400).selectExpr("id * 2 as a", "id * 2 + 2 as b").union(spark.range(50).selectExpr("cast(9001 as long) as a", "9003 + id * 2 as b"))
+    roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    assert {roots[i] for i in range(2, 802, 2)} == {0}
+    assert {roots[9003 + 2 * i] for i in range(50)} == {9001}
+
+
+@pytest.mark.parametrize("most_rows", [secret_scan.SENT_ROWS, 0])
+def test_secrets(mixed, most_rows):
+    rules = [*brute.BASE, *[(r.kind, re.compile(r.pattern), 0, 1) for r in secret_scan.MORE]]
+    rows = secret_scan.scan(mixed, most_rows=most_rows).select("text", secret_scan.listed(F.col("spans")).alias("got")).collect()
+    assert len(rows) == mixed.count()
+    assert all(r["got"] == brute.secrets(r["text"], rules) for r in rows)
+    assert any("assign" in r["got"] for r in rows)
+
+
+def test_trigram_queries():
+    q = secret_scan.trigram_query
+    assert q("AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
+    assert q("[0-9a-f]{24,}") is True
+    assert q("(abcd|efg)x*") == ("or", (("and", ("abc", "bcd")), "efg"))
+    assert q("a?b") is True
+    assert q("abc(def)?") == "abc"
+
+
+def test_queries_hold_wherever_rules_match(mixed):
+    """The index may only leave out texts that a rule can't match."""
+    texts = [r["text"] or "" for r in mixed.collect()]
+    for rule in secret_scan.RULES:
+        query = secret_scan.trigram_query(rule.pattern)
+
+        def holds(q, low):
+            return q is True or (q in low if isinstance(q, str) else (all if q[0] == "and" else any)(holds(x, low) for x in q[1]))
+
+        for text in texts:
+            if re.search(rule.pattern, text):
+                assert holds(query, text.lower())
+
+
+def test_redaction(mixed, odd):
+    rows = secret_scan.scan(mixed).select("text", "spans", secret_scan.redacted(F.col("text"), F.col("spans")).alias("clean")).collect()
+    for r in rows:
+        if not r["spans"]:
+            assert r["clean"] == r["text"]
+            continue
+        out, at = "", 0
+        for s in r["spans"]:
+            if s["start"] >= at:
+                out += r["text"][at : s["start"]] + "[SECRET]"
+            at = max(at, s["end"])
+        assert r["clean"] == out + r["text"][at:]
+    assert secret_scan.scan(odd).count() == odd.count()
+    assert secret_scan.scan(mixed.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_contamination(spark, mixed, sent):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(12).collect()]
+    items = [*enumerate(texts), (100, "Short item"), (101, "one"), (102, None), (103, "... !"), (104, "Éa b c d e f g h i j k l m n o p"), (100, "Short item"), (None, "zz yy xx"), (105, texts[0])]
+    more = [(1, "a short ITEM, one short item"), (2, "x Éa B-c d e f g h i j k l m n q éa b c d e f g h i j k l m n o p"), (3, f"{texts[3]} tail {texts[3]} {texts[0]}"), (4, "zz yy xx"), (5, " ".join(texts[1].split()[:12]))]
+    docs = mixed.union(spark.createDataFrame(more, mixed.schema))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    options = {} if sent else {"most_shingles": 0, "most_candidates": 0}
+    rows = decontaminate.contamination(docs, benchmark, **options).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert (r["n_words"], r["n_hit"], r["items"]) == brute.contamination(r["text"], items), r["doc_id"]
+    assert sum(r["n_hit"] > 0 for r in rows) >= 4
+
+
+def test_contamination_of_nothing(spark, odd, mixed):
+    benchmark = spark.createDataFrame([(1, "some item")], "item_id long, text string")
+    assert decontaminate.contamination(odd, benchmark).count() == odd.count()
+    assert decontaminate.contamination(mixed.limit(0), benchmark).count() == 0
+    assert {r["n_hit"] for r in decontaminate.contamination(mixed, benchmark.limit(0)).collect()} == {0}
