@@ -28,7 +28,7 @@ def preview(text: Column, size: int = 120) -> Column:
 
 
 def shown_score(score: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", score), F.lit("N/A"))
+    return F.when(score.isNull(), F.lit("N/A")).otherwise(F.format_string("%.4f", score))
 
 
 def source_label(metadata: Column, unknown: str = "未知文档") -> Column:
