@@ -29,8 +29,8 @@ from lodestone.llm.common import ready
 from lodestone.llm.pretokens import SPACE, Memo, split_pieces
 
 MODEL = "piece_bpe_32k.model"
-#: Parts and pairs that a worker remembers: about 80 MB together.
-PARTS, PAIRS = 300_000, 200_000
+#: Parts and pairs that a worker remembers: about 140 MB together.
+PARTS, PAIRS = 600_000, 200_000
 
 
 def public_model(name: str = MODEL) -> str:

@@ -25,14 +25,22 @@ def split_pieces(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """Results by key, worked out when first asked for; emptied when it holds `most`."""
+    """Results by key, worked out when first asked for.
+
+    It holds `most` at most, in two halves: when the younger half is full it takes the place
+    of the older one, which is dropped but for what is asked for again, so frequent keys stay.
+    """
 
     def __init__(self, work: Callable, most: int):
         super().__init__()
-        self.work, self.most = work, most
+        self.work, self.half, self.old = work, max(1, most // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        out = self.old.get(key)
+        if out is None:
+            out = self.work(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        out = self[key] = self.work(key)
+        self[key] = out
         return out

@@ -26,8 +26,8 @@ from lodestone.llm.piece_codec import public_model
 from lodestone.llm.pretokens import SPACE, Memo, split_pieces
 
 ZIPF_SHIFT, ZIPF_POWER, UNKNOWN_PENALTY = 2.7, 1.0, 10.0
-#: Nodes and terminal counts that a worker holds before either starts anew: about 100 MB.
-NODES, TERMINALS = 300_000, 300_000
+#: Nodes and terminal counts that a worker holds: about 180 MB.
+NODES, TERMINALS = 500_000, 800_000
 
 
 def unigram_scores(path: str, shift: float = ZIPF_SHIFT, power: float = ZIPF_POWER) -> dict[str, float]:

@@ -29,6 +29,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +66,8 @@ class WordEncoder:
 
     Each stretch between white space is encoded by the library once while it is remembered;
     its normalizer works on characters and what combines with them, never over a space.  A
-    stretch of Latin letters, or one before full stops and commas, is one pre-token whose
-    normal form is its small letters; many of those at once go to the library's model, and
+    stretch of Latin letters, alone or before ASCII punctuation, is one pre-token whose normal
+    form is its small letters; many of those at once go to the library's model, and
     the mark that ends a word's last token parts their ids again.
     """
 
@@ -82,7 +83,8 @@ class WordEncoder:
         if self.suffix:
             self.final[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(self.suffix)]] = True
         self.bytes = byte_characters()
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # the younger half of what is remembered
+        self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def by_library(self, words: list[str]) -> list[bytes]:
@@ -92,7 +94,7 @@ class WordEncoder:
         """Work out stretches that aren't remembered."""
         letters, tails, others = [], [], []
         for word in words:
-            core = word.rstrip(".,")
+            core = word.rstrip(punctuation)
             if self.suffix and core.isalpha() and (core.isascii() or max(core) < "\u0130"):  # below it, letters have one-letter small forms
                 letters.append((word, core.lower()))
                 if len(core) < len(word):
@@ -120,10 +122,13 @@ class WordEncoder:
         out: list[bytes] = []
         for at in range(0, len(texts), 64):
             cut = [_SPACES.sub(" ", x or "").split(" ") for x in texts[at : at + 64]]
-            if len(self.words) > WORDS:
-                self.words.clear()
+            if len(self.words) > WORDS // 2:
+                self.words, self.older = {}, self.words
                 self.tails.clear()
-            self.learn([w for w in set().union(*cut) if w not in self.words])
+            missing = [w for w in set().union(*cut) if w not in self.words]
+            known = {w: self.older[w] for w in missing if w in self.older}
+            self.words.update(known)
+            self.learn([w for w in missing if w not in known])
             out += [b"".join(map(self.words.__getitem__, x)) for x in cut]
         return out
 
