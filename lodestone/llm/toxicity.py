@@ -191,6 +191,17 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
     return Model(value, float(bias[1] - bias[0]), {w: x for w, x in rare.items() if x < 0.95})
 
 
+def first_lines(texts: list[str]) -> list[str]:
+    """Each text without the lines that a text before it has: what many copies share is evidence once."""
+    seen: set[str] = set()
+    out = []
+    for text in texts:
+        lines = [x for x in dict.fromkeys(text.split("\n")) if x not in seen]
+        seen.update(lines)
+        out.append("\n".join(lines))
+    return out
+
+
 def cut_margin(margins: np.ndarray, label: np.ndarray, clean_weight: float = 1.0) -> float:
     """The margin that errs least on these texts, in the middle between its neighbours; a clean text counts as clean_weight texts."""
     order = np.argsort(margins, kind="stable")
@@ -207,7 +218,7 @@ def train(texts: list[str], labels: list[int], clean_weight: float = 1.0, steps:
     held = [i for i in range(len(texts)) if i % 3 == 0]
     if len({labels[i] for i in held}) < 2 or len({y for i, y in enumerate(labels) if i % 3}) < 2:
         return fit(texts, labels, steps)
-    model = fit([x for i, x in enumerate(texts) if i % 3], [y for i, y in enumerate(labels) if i % 3], steps)
+    model = fit(first_lines([x for i, x in enumerate(texts) if i % 3]), [y for i, y in enumerate(labels) if i % 3], steps)
     memo = Memo(model.word, WORDS)
     margins = np.array([sum(v) / max(1, len(v)) for v in ([memo[w] for w in words_of(texts[i])] for i in held)])
     model.bias = -cut_margin(margins, np.array([labels[i] for i in held]), clean_weight)
