@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from array import array
@@ -43,9 +42,8 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 1
 MAGIC = b"LSDC1\0\0\0"
 HEAD = struct.Struct("<8sQIIQQQ")
 BLOCK = 512
-#: Tokens after which a segment is closed; words that a worker remembers (about 100 MB).
-SEGMENT, WORDS = 1 << 20, 500_000
-_SPACES = re.compile("[ \t\n\r]")
+#: Tokens after which a segment is closed; words that a worker remembers (about 130 MB).
+SEGMENT, WORDS = 1 << 20, 600_000
 
 
 def public_tokenizer(name: str = TOKENIZER) -> str:
@@ -90,46 +88,51 @@ class WordEncoder:
     def by_library(self, words: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Work out stretches that aren't remembered."""
-        letters, tails, others = [], [], []
+        letters, cores, others = [], [], []
         for word in words:
             core = word.rstrip(punctuation)
             if self.suffix and core.isalpha() and (core.isascii() or max(core) < "\u0130"):  # below it, letters have one-letter small forms
-                letters.append((word, core.lower()))
-                if len(core) < len(word):
-                    tails.append((word, word[len(core) :]))
+                letters.append(word)
+                cores.append(core)
             else:
                 others.append(word)
         if letters:
-            cores = [x if x.isascii() else x.encode().decode("latin-1").translate(self.bytes) for _, x in letters]
-            ids = np.array(self.model.encode_batch_fast([cores], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            plain = [x.lower() if x.isascii() else x.lower().encode().decode("latin-1").translate(self.bytes) for x in cores]
+            ids = np.array(self.model.encode_batch_fast([plain], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.final[ids]) + 1
             if len(ends) != len(letters):
                 raise ValueError("a word of the vocabulary ends without its mark")
             data, at = ids.tobytes(), 0
-            for (word, _), end in zip(letters, (4 * ends).tolist(), strict=True):
-                self.words[word] = data[at:end]
+            for word, core, end in zip(letters, cores, (4 * ends).tolist(), strict=True):
+                found = data[at:end]
                 at = end
-            for word, tail in tails:
-                if tail not in self.tails:
-                    self.tails[tail] = self.by_library([tail])[0]
-                self.words[word] += self.tails[tail]
-        self.words.update(zip(others, self.by_library(others), strict=True))
+                if len(core) < len(word):
+                    tail = word[len(core) :]
+                    if tail not in self.tails:
+                        self.tails[tail] = self.by_library([tail])[0]
+                    found += self.tails[tail]
+                self.words[word] = found
+        if others:
+            self.words.update(zip(others, self.by_library(others), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without an end."""
         out: list[bytes] = []
         for at in range(0, len(texts), 64):
-            cut = [_SPACES.sub(" ", x or "").split(" ") for x in texts[at : at + 64]]
+            cut = [(x or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts[at : at + 64]]
             if len(self.words) > WORDS // 2:
                 self.words, self.older = {}, self.words
                 self.tails.clear()
-            missing = [w for w in set().union(*cut) if w not in self.words]
-            known = {w: self.older[w] for w in missing if w in self.older}
-            self.words.update(known)
-            self.learn([w for w in missing if w not in known])
-            out += [b"".join(map(self.words.__getitem__, x)) for x in cut]
+            words = set().union(*cut)
+            here = dict(zip(words, map(self.words.get, words), strict=True))  # a small table for many lookups
+            if missing := [w for w, ids in here.items() if ids is None]:
+                known = {w: ids for w, ids in zip(missing, map(self.older.get, missing), strict=True) if ids is not None}
+                self.words.update(known)
+                self.learn([w for w in missing if w not in known])
+                here.update(zip(missing, map(self.words.__getitem__, missing), strict=True))
+            out += [b"".join(map(here.__getitem__, x)) for x in cut]
         return out
 
 
