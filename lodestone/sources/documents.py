@@ -68,7 +68,7 @@ def pdf_fragments(files: DataFrame, pages: PageReader | None, first_page: int =
     return files.filter(suffix(F.col("path")) == "pdf").select("path", "content").mapInPandas(read, WITH_ERROR)
 
 
-def load_directory(spark: SparkSession, path: str, recursive: bool = True, pages: PageReader | None = None) -> tuple[DataFrame, DataFrame]:
+def load_directory(spark: SparkSession, path: str, recursive: bool = True, pages: PageReader | None = None, first_page: int = 1, keep_blank: bool = False) -> tuple[DataFrame, DataFrame]:
     """Fragments of all supported files, and the files that failed (path, error).
 
     NotADirectoryError if there is no such folder.  Fragments carry `order`, the parts of the
@@ -79,13 +79,13 @@ def load_directory(spark: SparkSession, path: str, recursive: bool = True, pages
         raise NotADirectoryError(path)
     files = _files(spark, path, recursive).filter(is_supported(F.col("path")))
     found = text_fragments(files)
-    found = found.unionByName(pdf_fragments(files, pages))
+    found = found.unionByName(pdf_fragments(files, pages, first_page, keep_blank))
     found = found.withColumn("order", F.split("metadata.source", "/"))
     failed = found.filter("error is not null").select(F.col("metadata.source").alias("path"), "error")
     return found.filter("error is null").drop("error"), failed
 
 
-def load_document(spark: SparkSession, path: str, pages: PageReader | None = None) -> DataFrame:
+def load_document(spark: SparkSession, path: str, pages: PageReader | None = None, first_page: int = 1, keep_blank: bool = False) -> DataFrame:
     """Fragments of one file.  FileNotFoundError, or ValueError for a format that isn't supported."""
     if _status(spark, path) is None:
         raise FileNotFoundError(path)
@@ -95,5 +95,5 @@ def load_document(spark: SparkSession, path: str, pages: PageReader | None = Non
     if kind == "pdf" and pages is None:
         raise RuntimeError("no PDF extractor was given")
     files = spark.read.format("binaryFile").load(path)
-    rows = text_fragments(files) if kind != "pdf" else pdf_fragments(files, pages)
+    rows = text_fragments(files) if kind != "pdf" else pdf_fragments(files, pages, first_page, keep_blank)
     return rows.select("page_content", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("metadata")).alias("metadata"))

@@ -1,5 +1,6 @@
 """Sources, sinks, settings, collections, jobs, streaming."""
 
+import io
 import json
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.config import ConfigError, load_config, section, substitute
 from lodestone.operators.chunks import ChunkSettings
 from lodestone.operators.embedding import hashing_embedder
+from lodestone.plans.ask import ask, ask_events, asked_lines, converse
 from lodestone.plans.collection import Collection, CollectionExistsError
 from lodestone.plans.ingest import build_collection, chunk_directory
 from lodestone.sources.chunk_files import read_chunks, write_chunk_array, write_chunks
@@ -47,6 +49,8 @@ def test_directory(spark, folder):
 def test_documents(spark, folder):
     assert load_document(spark, str(folder / "doc1.txt")).count() == 1
     assert load_document(spark, str(folder / "two.pdf"), pages).count() == 2
+    kept = load_document(spark, str(folder / "two.pdf"), pages, first_page=0, keep_blank=True)
+    assert sorted(r["metadata"]["page"] for r in kept.collect()) == [0, 1, 2]
     with pytest.raises(FileNotFoundError):
         load_document(spark, str(folder / "none.txt"))
     with pytest.raises(ValueError, match="unsupported"):
@@ -139,3 +143,22 @@ def test_build_and_stream(spark, tmp_path):
     chunks.filter(F.col("metadata.chunk_id") == 0).write.mode("append").json(str(tmp_path / "in"))
     ingest_stream(spark, str(tmp_path / "in"), live, hashing_embedder(8), str(tmp_path / "at")).awaitTermination()
     assert live.count() == 4
+
+
+def test_questions(spark, tmp_path):
+    embed = hashing_embedder(32)
+    c = Collection(spark, str(tmp_path / "c"), 32)
+    c.create()
+    c.insert(rows_of(spark, TEXTS, embed))
+    c.build_terms()
+    asked = spark.createDataFrame([(0, "blood sugar"), (1, "chest pain")], "qid int, question string")
+    for hybrid in (False, True):
+        rows = {r["qid"]: r for r in ask(c, asked, embed, k=1, hybrid=hybrid).collect()}
+        assert rows[0]["answer"] == TEXTS[1] and rows[1]["sources"][0]["text"] == TEXTS[0]
+    nothing = ask(c, asked, embed, threshold=2.0).first()
+    assert "证据" in nothing["answer"] and nothing["sources"] == []
+    assert ask_events(c, asked, embed, k=1).filter("event = 'done'").count() == 2
+    assert list(asked_lines(["", " a ", "QUIT", "b"])) == ["a"]
+    out = io.StringIO()
+    converse(c, embed, ["blood sugar\n", "exit\n"], out, k=1)
+    assert out.getvalue().startswith(TEXTS[1]) and "[1] s p.1" in out.getvalue()
