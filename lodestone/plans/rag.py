@@ -55,8 +55,8 @@ def prompt(context: Column, question: Column, template: str = TEMPLATES["answer"
 
 def extractive(prompts: list[str]) -> list[str]:
     """An answer without a model: the first labelled text of the prompt."""
-    mark = f"[{CONTEXT_LABEL}1]\n"
-    return [p.partition(mark)[2].partition(CONTEXT_JOINER)[0].strip() or NO_EVIDENCE for p in prompts]
+    mark, after = f"[{CONTEXT_LABEL}1]\n", TEMPLATES["answer"].partition("{context}")[2].partition("{question}")[0]
+    return [p.partition(mark)[2].partition(CONTEXT_JOINER)[0].rpartition(after)[0].strip() or p.partition(mark)[2].partition(CONTEXT_JOINER)[0].strip() or NO_EVIDENCE for p in prompts]
 
 
 def generated(rows: DataFrame, generate: Generator, column: str = "prompt") -> DataFrame:
