@@ -124,7 +124,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     base = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.col("text").isNotNull().alias("_whole"), *text_key())
     base, _ = stored(base, "shard-documents")
     key = ["_key_a", "_key_b"]
-    groups = base.filter("_whole").groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1")
+    # Stored, and so shuffled for the join alone: a join on top of the grouping's own partitions could not split a hot group.
+    groups, _ = stored(base.filter("_whole").groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1"), "shard-groups")
     marked, _ = stored(base.join(groups.withColumn("_linked", F.lit(True)), key, "left").withColumn("_linked", F.col("_whole") & F.coalesce("_linked", F.lit(False))), "shard-linked")
     linked, single = marked.filter("_linked"), marked.filter("not _linked")
     quota = quotas(marked.count(), shards)
@@ -133,7 +134,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     load = _loads(state, shards)
 
     slots = running_total(state, ["shard"], key, "n", "slot", GROUP_BUCKETS)
-    places = slots.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("shard", "n", "slot"))).alias("places"))  # a place a shard at most
+    places, _ = stored(slots.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("shard", "n", "slot"))).alias("places")), "shard-places")  # a place a shard at most
     ranked = running_total(linked.withColumn("one", F.lit(1).cast("long")), key, ["doc_id"], "one", "rank", GROUP_BUCKETS)
     begin = F.struct(F.col("rank").alias("left"), F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
 
