@@ -19,9 +19,11 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
 
 
-def corpus_size(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: n texts and avgdl, 1 where no text has a token."""
-    return docs.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg(F.size(tokens(F.col(text_col)))), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+def corpus_size(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: n texts and avgdl, 1 where no text has a token; from the postings, so texts are cut once."""
+    total = found.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_tokens"))
+    rows = docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))
+    return rows.select("n", F.coalesce(F.nullif(F.col("_tokens") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
 
 
 def idf_table(found: DataFrame, size: DataFrame) -> DataFrame:

@@ -76,7 +76,8 @@ class Collection:
     def build_terms(self) -> None:
         """(Re)weigh all rows; run after inserts."""
         rows = self.rows()
-        found, size = postings(rows, "id", "text").persist(), corpus_size(rows, "text")
+        found = postings(rows, "id", "text").persist()
+        size = corpus_size(rows, found)
         idf = idf_table(found, size)
         idf.write.mode("overwrite").parquet(f"{self.path}/terms")
         weights = document_weights(found, self._table("terms"), size)

@@ -43,7 +43,8 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, size = postings(docs, "doc_id", "text"), corpus_size(docs, "text")
+    found = postings(docs, "doc_id", "text")
+    size = corpus_size(docs, found)
     return found, size, idf_table(found, size)
 
 

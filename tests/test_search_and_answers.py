@@ -19,7 +19,8 @@ DOCS = ["heart attack pain chest pain", "diabetes blood sugar", "chest x ray", "
 
 def bm25(spark):
     docs = spark.createDataFrame(list(enumerate(DOCS)), "id int, text string")
-    found, size = postings(docs, "id", "text"), corpus_size(docs, "text")
+    found = postings(docs, "id", "text")
+    size = corpus_size(docs, found)
     idf = idf_table(found, size)
     return document_weights(found, idf, size), idf
 
