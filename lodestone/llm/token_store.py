@@ -42,8 +42,8 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 1
 MAGIC = b"LSDC1\0\0\0"
 HEAD = struct.Struct("<8sQIIQQQ")
 BLOCK = 512
-#: Tokens after which a segment is closed; words that a worker remembers (about 130 MB).
-SEGMENT, WORDS = 1 << 20, 600_000
+#: Tokens after which a segment is closed; words that a worker remembers (about 200 MB).
+SEGMENT, WORDS = 1 << 20, 1_000_000
 
 
 def public_tokenizer(name: str = TOKENIZER) -> str:
@@ -125,14 +125,14 @@ class WordEncoder:
             if len(self.words) > WORDS // 2:
                 self.words, self.older = {}, self.words
                 self.tails.clear()
-            words = set().union(*cut)
-            here = dict(zip(words, map(self.words.get, words), strict=True))  # a small table for many lookups
-            if missing := [w for w, ids in here.items() if ids is None]:
+            found = [list(map(self.words.get, x)) for x in cut]
+            missing = {w for x, ids in zip(cut, found, strict=True) if None in ids for w, i in zip(x, ids, strict=True) if i is None}
+            if missing:
                 known = {w: ids for w, ids in zip(missing, map(self.older.get, missing), strict=True) if ids is not None}
                 self.words.update(known)
                 self.learn([w for w in missing if w not in known])
-                here.update(zip(missing, map(self.words.__getitem__, missing), strict=True))
-            out += [b"".join(map(here.__getitem__, x)) for x in cut]
+                found = [[self.words[w] if i is None else i for w, i in zip(x, ids, strict=True)] if None in ids else ids for x, ids in zip(cut, found, strict=True)]
+            out += map(b"".join, found)
         return out
 
 
