@@ -16,8 +16,12 @@ Embedder = Callable[[list[str]], list[list[float]]]
 BATCH, ATTEMPTS, FIRST_WAIT = 25, 3, 2.0
 
 
-class EmbeddingError(Exception):
-    """A failure of the embedding service that is worth another attempt."""
+class ServiceError(Exception):
+    """A failure of a remote service that is worth another attempt."""
+
+
+class EmbeddingError(ServiceError):
+    """One of the embedding service."""
 
 
 def hashing_embedder(dimension: int = 1536) -> Embedder:
@@ -37,14 +41,14 @@ def hashing_embedder(dimension: int = 1536) -> Embedder:
     return embed
 
 
-def with_retries(embed: Embedder, attempts: int = ATTEMPTS, first_wait: float = FIRST_WAIT) -> Embedder:
-    """Waits 2, 4, ... seconds between attempts after an EmbeddingError; other errors go through at once."""
+def with_retries(call: Callable[[list[str]], list], attempts: int = ATTEMPTS, first_wait: float = FIRST_WAIT) -> Callable[[list[str]], list]:
+    """Waits 2, 4, ... seconds between attempts after a ServiceError; other errors go through at once."""
 
-    def run(texts: list[str]) -> list[list[float]]:
+    def run(texts: list[str]) -> list:
         for attempt in range(attempts):
             try:
-                return embed(texts)
-            except EmbeddingError:
+                return call(texts)
+            except ServiceError:
                 if attempt == attempts - 1:
                     raise
                 time.sleep(first_wait * 2**attempt)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.text import filled, shortened
+from lodestone.operators.embedding import with_retries
 
 # How a context is laid out, and the answer where nothing was found.
 CONTEXT_LABEL, CONTEXT_JOINER = "文档", "\n\n---\n\n"
@@ -22,6 +23,12 @@ TEMPLATES = {
     "differential": "Case:\n\n{context}\n\nQuestion: {question}\n\nList what could explain the case, with what speaks for and against each.",
     "guideline": "Guideline passages:\n\n{context}\n\nTopic: {question}\n\nSummarise what the passages recommend.",
 }
+WARNINGS = {
+    "emergency": "If this is an emergency, call the emergency services now.",
+    "medication": "Change no medication without asking a doctor or pharmacist.",
+    "diagnosis": "This is no diagnosis; a doctor has to see the patient.",
+    "evidence": "The passages found support this only in part.",
+}
 SYSTEM = "You are a careful assistant for medical literature. Support every statement with a passage."
 MAX_QUESTION, MAX_TOP_K = 2000, 50
 
@@ -62,9 +69,11 @@ def extractive(prompts: list[str]) -> list[str]:
 def generated(rows: DataFrame, generate: Generator, column: str = "prompt") -> DataFrame:
     """rows with `answer`, stripped of white space at the ends."""
 
+    call = with_retries(generate)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.assign(answer=[x.strip() for x in generate(part[column].tolist())])
+            yield part.assign(answer=[x.strip() for x in call(part[column].tolist())])
 
     return rows.mapInPandas(run, T.StructType([*(f for f in rows.schema.fields if f.name != "answer"), T.StructField("answer", T.StringType())]))
 
