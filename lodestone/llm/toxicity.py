@@ -25,8 +25,8 @@ from lodestone.llm.pretokens import Memo
 
 #: Labelled texts of each class that the driver trains on at most: those whose hash is least.
 TRAIN_TOXIC, TRAIN_CLEAN = 1200, 2400
-#: N-gram lengths; texts, and share of texts, an n-gram must occur in; size of vectors; buckets that n-grams are hashed to.
-GRAMS, SEEN_IN, SEEN_SHARE, SIZE, BUCKETS = (3, 4, 5, 6), 4, 0.01, 4, 1 << 20
+#: N-gram lengths; texts an n-gram must occur in, however many there are, so that those of a rare language count; size of vectors; buckets that n-grams are hashed to.
+GRAMS, SEEN_IN, SIZE, BUCKETS = (3, 4, 5, 6), 4, 4, 1 << 20
 #: Share of all words at which a word weighs half.
 RARE = 1e-3
 #: Standard errors that don't count as evidence; margin between the classes at the start; steps and rates of Adam.
@@ -116,7 +116,7 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
     for x in cut:
         if x:
             held[np.unique(np.concatenate([gram_of[bounds[i] : bounds[i + 1]] for i in map(index.__getitem__, x)]))] += 1
-    shared = held >= max(SEEN_IN, SEEN_SHARE * len(cut))
+    shared = held >= SEEN_IN
     if not shared.any():
         return constant(0.0)
     number = np.cumsum(shared, dtype=np.int32) - 1
