@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import METRICS, squared_l2
 from lodestone.operators.ranking import ranked
+from lodestone.operators.search import dense_search
+
+#: Recall against the exact search that the probes of an index must reach on its sample of queries, and queries of that sample.
+RECALL, ASKED = 0.97, 200
 
 
 def cells(rows: int, dimension: int) -> int:
@@ -36,8 +40,26 @@ class IVFIndex:
         """The collection partitioned by cell, so that a join on cells prunes files."""
         self.placed.write.mode("overwrite").partitionBy("cell").parquet(path)
 
-    def search(self, queries: DataFrame, k: int = 5, nprobe: int = 16, metric: str = "IP") -> DataFrame:
-        """qid, id, score, rank among the rows of each query's nprobe nearest cells."""
+    def probes_for(self, recall: float = RECALL, k: int = 5, metric: str = "IP", asked: int = ASKED) -> int:
+        """Nearest cells to read so that a sample of the collection's own vectors, as queries, finds
+        at least this share of the rows that the exact search finds."""
+        sample = self.placed.orderBy(F.xxhash64("id"), "id").limit(asked).select(F.col("id").alias("qid"), "vector")
+        exact = dense_search(sample, self.placed, k, metric).select("qid", "id")
+        near = Window.partitionBy("qid").orderBy("_d", "cell")
+        order = sample.crossJoin(F.broadcast(self.centroids)).withColumn("_d", squared_l2(F.col("vector"), F.col("centroid")))
+        order = order.withColumn("_r", F.row_number().over(near)).select("qid", "cell", "_r")
+        found = exact.join(self.placed.select("id", "cell"), "id").join(order, ["qid", "cell"]).groupBy("_r").agg(F.count("*").alias("n"))
+        counts = sorted((r["_r"], r["n"]) for r in found.collect())  # a row a cell at most
+        total, so_far = sum(n for _, n in counts), 0
+        for r, n in counts:
+            so_far += n
+            if so_far >= recall * total:
+                return r
+        return 1
+
+    def search(self, queries: DataFrame, k: int = 5, nprobe: int | None = None, metric: str = "IP") -> DataFrame:
+        """qid, id, score, rank among the rows of each query's nprobe nearest cells; as many as RECALL takes if not given."""
+        nprobe = nprobe or self.probes_for(RECALL, k, metric)
         score, descending = METRICS[metric.upper()]
         near = Window.partitionBy("qid").orderBy("_d", "cell")
         probes = queries.crossJoin(F.broadcast(self.centroids)).withColumn("_d", squared_l2(F.col("vector"), F.col("centroid")))
