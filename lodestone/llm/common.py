@@ -35,13 +35,16 @@ def ready(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and every executor see.
 
-    The cluster names it in spark.checkpoint.dir.  Only where that is unset, as in a local
-    test, a temporary folder takes its place.
+    The cluster names it in spark.checkpoint.dir.  Where that is unset, a local master, whose
+    executors are the driver itself, gets a temporary folder; any other one is an error, as
+    executors would each write to a disk of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -19,17 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ready, stored
+from lodestone.llm.common import discard, ready, stored
 
 GRAMS, LENGTH = (1, 2, 3), 300
-#: Languages that profiles may have; words that a worker gathers before it hands their n-grams on.
-LANGUAGES, GATHERED = 1000, 200_000
+#: Bytes of words that a worker gathers before it hands their n-grams on.
+GATHERED = 16 << 20
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters; numerals other than decimal digits, such as a half or a circled one, end a run as digits do."""
+    words = _WORD.findall((text or "").lower())
+    if "".join(words).isalpha():
+        return words
+    return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def grams_of(word: str) -> list[str]:
@@ -44,6 +48,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
+        held = 0
 
         def handed_on() -> pa.RecordBatch:
             out: list[tuple[str, str, int]] = []
@@ -58,9 +63,13 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, words.values())) > GATHERED:
-                yield handed_on()
+                counts = words.setdefault(lang, Counter())
+                found = Counter(words_of(text))
+                held += sum(100 + 4 * len(w) for w in found if w not in counts)
+                counts.update(found)
+                if held > GATHERED:
+                    yield handed_on()
+                    held = 0
         yield handed_on()
 
     parts = docs.filter(F.col("lang").isNotNull()).select("lang", "text").mapInArrow(run, "lang string, gram string, n long")
@@ -70,12 +79,12 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, length: int = LENGTH) -> dict[str, list[str]]:
     """The profile of each language: its `length` most frequent n-grams, ties in order of the n-gram."""
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top, _ = stored(gram_counts(docs).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= length), "language-profiles")
-    if top.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    spark = docs.sparkSession
+    top, path = stored(gram_counts(docs).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= length).select("lang", "gram", "rank"), "language-profiles")
     profiles: dict[str, list[str]] = {}
-    for row in top.orderBy("lang", "rank").collect():  # LANGUAGES * length rows at most
+    for row in top.orderBy("lang", "rank").toLocalIterator():  # `length` short rows a language, which every worker needs
         profiles.setdefault(row["lang"], []).append(row["gram"])
+    discard(spark, path)
     return profiles
 
 
@@ -124,7 +133,7 @@ class Profiles:
 def identify(docs: DataFrame, learnt_from: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, lang_pred and score of each text of docs, by the profiles of learnt_from (text and lang).
 
-    A text that is null or has no letter is `und` with score 0, and so is every text if
+    Whole texts are read, however long; one needs memory in proportion to itself.  A text that is null or has no letter is `und` with score 0, and so is every text if
     nothing could be learnt.  Rows of learnt_from without lang are left out, null texts there
     count as empty.  Rows that repeat repeat; an empty table gives an empty result.
     """
