@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 
 from lodestone.llm.common import ready
-from lodestone.llm.pretokens import SPACE, Memo, split_pieces
+from lodestone.llm.pretokens import ENTRY_BYTES, SPACE, Memo, split_pieces
 
 MODEL = "piece_bpe_32k.model"
-#: Parts and pairs that a worker remembers: about 140 MB together.
-PARTS, PAIRS = 600_000, 200_000
+#: Bytes of parts, and pairs (some 150 bytes each), that a worker remembers.
+PART_BYTES, PAIRS = 160 << 20, 200_000
 
 
 def public_model(name: str = MODEL) -> str:
@@ -55,8 +55,8 @@ class PieceEncoder:
             if self.merged(x) == [i]:  # a piece that merging never makes can't be a token
                 self.automaton.add_word(x, (len(x), i))
         self.automaton.make_automaton()
-        self.fits = Memo(lambda pair: self.merged(self.text[pair[0]] + self.text[pair[1]]) == list(pair), PAIRS)
-        self.parts = Memo(lambda part: np.array(self.encode_part(SPACE + part), "<u4").tobytes(), PARTS)
+        self.fits = Memo(lambda pair: self.merged(self.text[pair[0]] + self.text[pair[1]]) == list(pair), PAIRS * ENTRY_BYTES)
+        self.parts = Memo(lambda part: np.array(self.encode_part(SPACE + part), "<u4").tobytes(), PART_BYTES)
 
     def merged(self, text: str) -> list[int]:
         """Plain merging: the best-scored adjacent pair first, the leftmost of equals."""
@@ -145,7 +145,8 @@ def encode_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     Null texts count as empty: begin and end only, decoded to an empty text.  Each row is
     worked on by itself, so repeated rows repeat, null doc_ids stay and an empty table gives
-    an empty result; the longest text needs memory in proportion to itself alone.
+    an empty result; the longest text needs memory in proportion to itself alone.  Other columns
+    of docs are left out, so none can clash.
     """
     ready(docs.sparkSession)
     path = model or public_model()

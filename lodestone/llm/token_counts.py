@@ -23,11 +23,11 @@ from sentencepiece import SentencePieceProcessor
 
 from lodestone.llm.common import ready
 from lodestone.llm.piece_codec import public_model
-from lodestone.llm.pretokens import SPACE, Memo, split_pieces
+from lodestone.llm.pretokens import LONG_KEY, SPACE, Memo, split_pieces
 
 ZIPF_SHIFT, ZIPF_POWER, UNKNOWN_PENALTY = 2.7, 1.0, 10.0
-#: Nodes and terminal counts that a worker holds: about 180 MB.
-NODES, TERMINALS = 500_000, 800_000
+#: Nodes that a worker's trie holds at most, some 100 MB, and bytes of its terminal counts.
+NODES, TERMINAL_BYTES = 500_000, 160 << 20
 
 
 def unigram_scores(path: str, shift: float = ZIPF_SHIFT, power: float = ZIPF_POWER) -> dict[str, float]:
@@ -47,13 +47,32 @@ class CountTrie:
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.clear()
-        self.terminal = Memo(self.insert, TERMINALS)
+        self.terminal = Memo(self.count_of, TERMINAL_BYTES)
         self.count = self.terminal.__getitem__
 
     def clear(self) -> None:
         self.edges: dict[int, int] = {}
         self.forward, self.tokens = [0.0], [0]
 
+    def count_of(self, pretoken: str) -> int:
+        return self.insert(pretoken) if len(pretoken) <= LONG_KEY else self.unshared(pretoken)
+
+    def unshared(self, pretoken: str) -> int:
+        """The same scores for a pre-token so long that no other shares much of it: they leave the trie as it is."""
+        text, scores, longest = SPACE + pretoken, self.scores, self.longest
+        forward, tokens = [0.0] * (longest + 1), [0] * (longest + 1)  # of the last places, by place modulo their number
+        for end, char in enumerate(text, 1):
+            best, n = -math.inf, 0
+            for start in range(max(0, end - longest), end):
+                score = scores.get(text[start:end])
+                if score is not None and forward[start % (longest + 1)] + score > best:
+                    best, n = forward[start % (longest + 1)] + score, tokens[start % (longest + 1)] + 1
+            last = (end - 1) % (longest + 1)
+            if char not in scores and forward[last] + self.unknown > best:
+                best, n = forward[last] + self.unknown, tokens[last] + len(char.encode("utf-8", "surrogatepass"))
+            forward[end % (longest + 1)], tokens[end % (longest + 1)] = best, n
+        return tokens[len(text) % (longest + 1)]
+
     def insert(self, pretoken: str) -> int:
         """Tokens of the space mark and the pre-token, whose path the trie gains."""
         if len(self.forward) >= self.most:
@@ -87,8 +106,10 @@ def trie(path: str, shift: float, power: float) -> CountTrie:
 def token_counts(docs: DataFrame, model: str | None = None, shift: float = ZIPF_SHIFT, power: float = ZIPF_POWER) -> DataFrame:
     """doc_id, n_pretokens and n_tokens of each whole text.
 
-    Null and empty texts have no pre-tokens.  Rows are independent: repeated rows repeat,
-    null doc_ids stay, an empty table gives an empty result.
+    Null and empty texts have no pre-tokens.  A text of any length is counted whole; a stretch
+    without spaces of more than LONG_KEY characters is scored by itself, and memory stays
+    bounded in bytes.  Texts that tie in score take the longest first piece.  Rows are independent: repeated rows repeat,
+    null doc_ids stay, an empty table gives an empty result, other columns of docs are left out.
     """
     ready(docs.sparkSession)
     path = model or public_model()

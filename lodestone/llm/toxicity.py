@@ -2,226 +2,215 @@
 
 A word is the bag of its character n-grams, its ends marked, and its vector their mean; a
 text is the mean of its words' vectors, where frequent words weigh less (a smooth inverse
-frequency), and a linear softmax over that mean tells its class.  Embeddings and softmax are trained jointly in numpy, so the n-grams of a stem carry
-what the stem means into words that were never seen: other endings, misspellings.
+frequency), and a linear softmax over that mean tells its class.  Embeddings and softmax
+start at random and are trained jointly in numpy, by minibatches, so the n-grams of a stem
+carry what the stem means into words that were never seen: other endings, misspellings.
+Every n-gram of the training texts is learnt, however rare; what keeps chance small is the
+size of its gradient, which grows with the share of texts that hold it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import ready
-from lodestone.llm.pretokens import Memo
-
-#: Labelled texts of each class that the driver trains on at most: those whose hash is least.
-TRAIN_TOXIC, TRAIN_CLEAN = 1200, 2400
-#: N-gram lengths; texts an n-gram must occur in, however many there are, so that those of a rare language count; size of vectors; buckets that n-grams are hashed to.
-GRAMS, SEEN_IN, SIZE, BUCKETS = (3, 4, 5, 6), 4, 4, 1 << 20
+from lodestone.llm.pretokens import ManyMemo
+
+#: Labelled texts of each class that the driver trains on at most, those whose hash is least, and bytes of text of each class.
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1200, 2400, 16 << 20
+#: N-gram lengths; size of vectors; buckets that n-grams are hashed to (a power of two).
+GRAMS, SIZE, BUCKETS = (3, 4, 5, 6), 8, 1 << 20
+#: Texts that an n-gram must be in for half its gradient to count: what few texts hold is learnt less readily.
+TRUST = 10.0
+#: Words without a say that every text counts besides its own, so that a word or two decide nothing.
+CALM = 40
+#: One of so many texts of the sample is not fitted, but sets the point of even chances.
+HELD_BACK = 8
+#: Clean texts that may be flagged to find one toxic text more.
+MISSED = 2
 #: Share of all words at which a word weighs half.
-RARE = 1e-3
-#: Standard errors that don't count as evidence; margin between the classes at the start; steps and rates of Adam.
-DOUBT, START, STEPS, RATES, SEED = 2.0, 8.0, 20, (0.003, 0.02, 0.02), 7
-#: Words whose value a worker remembers.
-WORDS = 300_000
+RARE = 4e-4
+#: Passes over the training texts, steps that all passes have together at least, texts of a minibatch, first step of the gradient (of embeddings, of the softmax), and seed.
+PASSES, STEPS, BATCH, RATES, SEED = 10, 400, 64, (60_000.0, 0.5), 7
+#: Bytes that a worker's memory of words' values may take.
+WORD_BYTES = 64 << 20
 _WORD = re.compile(r"\w+")
+_PRIME, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def buckets_of(word: str) -> list[int]:
-    """Buckets of the character n-grams of a word with its ends marked, and of the word itself."""
-    marked = f"<{word}>".encode("utf-32-le", "surrogatepass")
-    n = len(marked) // 4
-    parts = [marked[4 * i : 4 * (i + k)] for k in GRAMS for i in range(n - k + 1)]
-    return [crc32(x) % BUCKETS for x in (*parts, marked)]
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    mixed = (hashes ^ hashes >> np.uint64(29)) * _MIX
+    return (mixed >> np.uint64(32)).astype(np.int64) & (BUCKETS - 1)
+
+
+def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of the character n-grams of words with their ends marked, and of the words themselves."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(sizes)
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = ends[word] - np.arange(len(codes))  # characters from here to the word's end
+    whole = np.add.reduceat((codes * _PRIME + left.astype(np.uint64)) * _MIX ^ codes, ends - sizes)
+    owners, buckets = [np.arange(len(words))], [_buckets(whole)]
+    rolling = codes
+    for k in range(2, max(GRAMS) + 1):
+        if len(codes) < k:
+            break
+        rolling = rolling[: len(codes) - k + 1] * _PRIME + codes[k - 1 :]
+        if k in GRAMS:
+            here = np.flatnonzero(left[: len(rolling)] >= k)
+            owners.append(word[here])
+            buckets.append(_buckets(rolling[here] + np.uint64(k)))
+    return np.concatenate(owners), np.concatenate(buckets)
 
 
 @dataclass
 class Model:
-    """value: what each bucket's vector adds to the margin of the toxic class; NaN where too few texts had one."""
+    """value: what each bucket's vector adds to the margin of the toxic class."""
 
     value: np.ndarray
     bias: float
     weight: dict[str, float]
 
-    def word(self, word: str) -> float:
-        values = self.value[buckets_of(word)]
-        known = values[~np.isnan(values)]
-        return self.weight.get(word, 1.0) * float(known.mean()) if len(known) else 0.0
+    def words(self, words: list[str]) -> list[float]:
+        """What each word adds: the mean of its buckets by its weight."""
+        owner, bucket = spelled(words)
+        means = np.bincount(owner, self.value[bucket], len(words)) / np.maximum(1, np.bincount(owner, minlength=len(words)))
+        return (means * np.fromiter((self.weight.get(w, 1.0) for w in words), np.float64, len(words))).tolist()
 
     def score(self, values: list[float]) -> float:
         """From the values of all words of a text."""
-        margin = sum(values) / max(1, len(values)) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
+        margin = math.fsum(values) / (len(values) + CALM) + self.bias
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, margin))))
 
 
 def constant(bias: float) -> Model:
-    return Model(np.full(BUCKETS, np.nan, np.float32), bias, {})
-
-
-def evidence(shares: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray, grams: int) -> np.ndarray:
-    """What the share of a text's words that hold an n-gram tells for sure about the class.
-
-    That is the difference of the classes' means, less `DOUBT` standard errors, over the
-    variance within classes (a diagonal discriminant).  shares: n-grams and shares of each text.
-    """
-    first, second = np.zeros((2, grams)), np.zeros((2, grams))
-    for (gram, share), y in zip(shares, label, strict=True):
-        own, at = np.unique(gram, return_inverse=True)
-        value = np.bincount(at, share, len(own))
-        first[y, own] += value
-        second[y, own] += value**2
-    n = np.bincount(label, minlength=2)
-    mean = first / n[:, None]
-    spread = np.maximum(second / n[:, None] - mean**2, 0)
-    error = np.sqrt((spread / n[:, None]).sum(axis=0))
-    sure = np.sign(mean[1] - mean[0]) * np.maximum(0, np.abs(mean[1] - mean[0]) - DOUBT * error)
-    within = (spread * n[:, None]).sum(axis=0) / n.sum()
-    out = sure / (within + np.median(within) + 1e-12)
-    return out / (np.abs(out).max() + 1e-12) * 10
-
-
-def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
-    """Adam on the class-balanced cross-entropy of the softmax, jointly with the embeddings.
-
-    Training starts from what single n-grams tell: the first component of their vectors is
-    the evidence for or against the class, so those that chance put into a few texts start
-    at nothing.
+    return Model(np.zeros(BUCKETS, np.float32), bias, {})
+
+
+class Bags:
+    """Texts as weighted bags of buckets, kept by word: a text's words, and each word's buckets."""
+
+    def __init__(self, texts: list[str]):
+        index: dict[str, int] = {}
+        total, own, times, ends = Counter(), array("i"), array("f"), [0]
+        for text in texts:
+            found = Counter(words_of(text))
+            total.update(found)
+            n = found.total()
+            for word, k in found.items():
+                own.append(index.setdefault(word, len(index)))
+                times.append(k / (n + CALM))
+            ends.append(len(own))
+        every = max(1, total.total())
+        self.weight = {w: RARE / (RARE + n / every) for w, n in total.items()}
+        rare = np.fromiter((self.weight[w] for w in index), np.float32, len(index))
+        owner, bucket = spelled(list(index))
+        self.spelled = bucket[np.argsort(owner, kind="stable")].astype(np.int32)
+        sizes = np.bincount(owner, minlength=len(index))
+        self.bounds = np.concatenate(([0], np.cumsum(sizes)))
+        self.own = np.array(own, np.int32)
+        self.times = np.array(times, np.float32) * (rare / np.maximum(1, sizes))[self.own].astype(np.float32)
+        self.ends = np.array(ends, np.int64)
+
+    def entries(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the text, bucket and weight of every entry of some texts, in their order."""
+        rows = np.concatenate([np.zeros(0, np.int64), *[np.arange(self.ends[t], self.ends[t + 1]) for t in texts]])
+        place = np.repeat(np.arange(len(texts)), (self.ends[texts + 1] - self.ends[texts]))
+        words = self.own[rows]
+        sizes = self.bounds[words + 1] - self.bounds[words]
+        last = np.cumsum(sizes)
+        at = np.arange(last[-1] if len(last) else 0) + np.repeat(self.bounds[words] - (last - sizes), sizes)
+        return np.repeat(place, sizes), self.spelled[at], np.repeat(self.times[rows], sizes)
+
+
+def fit(texts: list[str], labels: list[int], passes: int = PASSES) -> Model:
+    """Minibatch descent on the class-balanced cross-entropy of the softmax, jointly with the embeddings.
+
+    The step shrinks to nothing over the passes.  The gradient of an n-gram's vector is its
+    weight in each text times the text's error times what the softmax makes of a vector, so
+    one number a bucket and one vector a batch are all that a step has to work out.
     """
     if not texts or len(set(labels)) < 2:
         return constant(5.0 if labels and all(labels) else -5.0)
-    label = np.array(labels, np.int64)
-    cut = [Counter(words_of(t)) for t in texts]
-    index: dict[str, int] = {}
-    spelled, bounds = array("i"), array("q", [0])
-    for w in (w for x in cut for w in x):
-        if w not in index:
-            index[w] = len(index)
-            spelled.extend(buckets_of(w))
-            bounds.append(len(spelled))
-    gram_of, bounds = np.frombuffer(spelled, np.int32), np.frombuffer(bounds, np.int64)
-    held = np.zeros(BUCKETS, np.int32)
-    for x in cut:
-        if x:
-            held[np.unique(np.concatenate([gram_of[bounds[i] : bounds[i + 1]] for i in map(index.__getitem__, x)]))] += 1
-    shared = held >= SEEN_IN
-    if not shared.any():
-        return constant(0.0)
-    number = np.cumsum(shared, dtype=np.int32) - 1
-    kept = shared[gram_of]
-    word_of = np.repeat(np.arange(len(index), dtype=np.int32), np.diff(bounds))[kept]
-    gram_of = number[gram_of[kept]]
-    spans = np.searchsorted(word_of, np.arange(len(index) + 1))
-    names = np.flatnonzero(shared)
-    weight = (1 / np.maximum(1, np.diff(spans))).astype(np.float32)
-    text = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
-    words = np.array([index[w] for x in cut for w in x], np.int64)
-    total = Counter()
-    for x in cut:
-        total.update(x)
-    all_words = total.total()
-    rare = {w: RARE / (RARE + n / all_words) for w, n in total.items()}
-    times = np.array([n * rare[w] for x in cut for w, n in x.items()], np.float32) / np.repeat([max(1, x.total()) for x in cut], [len(x) for x in cut]).astype(np.float32)
-
-    def shares() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        at = 0
-        for x in cut:
-            own, share = words[at : at + len(x)], times[at : at + len(x)]
-            at += len(x)
-            parts = [gram_of[spans[i] : spans[i + 1]] for i in own]
-            yield (np.concatenate(parts), np.repeat(share, [len(p) for p in parts])) if parts else (np.zeros(0, np.int32), np.zeros(0))
-
+    label, bags = np.array(labels, np.int64), Bags(texts)
     rng = np.random.default_rng(SEED)
-    grams = rng.normal(0, 0.01, (len(names), SIZE)).astype(np.float32)
-    grams[:, 0] = evidence(shares(), label, len(names))
-    softmax = rng.normal(0, 0.01, (SIZE, 2)).astype(np.float32)
+    grams = rng.normal(0, 1 / SIZE, (BUCKETS, SIZE)).astype(np.float32)
+    softmax = rng.normal(0, 1 / SIZE, (SIZE, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-
-    def rows(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(order, return_index=True)
-
-    by_gram, by_word = np.argsort(gram_of, kind="stable"), np.argsort(words, kind="stable")
-    (spelled_words, spelled_at), (texts_used, text_at), (grams_used, gram_at), (words_used, word_at) = rows(word_of), rows(text), rows(gram_of[by_gram]), rows(words[by_word])
-
-    def forward() -> tuple[np.ndarray, np.ndarray]:
-        vectors = np.zeros((len(index), SIZE), np.float32)
-        vectors[spelled_words] = np.add.reduceat(grams[gram_of], spelled_at, axis=0)
-        vectors *= weight[:, None]
-        means = np.zeros((len(cut), SIZE), np.float32)
-        means[texts_used] = np.add.reduceat(vectors[words] * times[:, None], text_at, axis=0)
-        return vectors, means
-
-    _, means = forward()
-    middle = [np.median(means[label == y, 0]) for y in (0, 1)]
-    slope = START / max(1e-6, abs(middle[1] - middle[0]))  # so that the classes start well apart, and the middle between them at even chances
-    softmax[0] += np.array([-slope / 2, slope / 2], np.float32)
-    bias += np.array([slope / 2, -slope / 2], np.float32) * np.float32(sum(middle) / 2)
-    balance = np.where(label == 1, 0.5 / (label == 1).sum(), 0.5 / (label == 0).sum()).astype(np.float32)
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (grams, softmax, bias)]
-    for step in range(1, steps + 1):
-        _, means = forward()
-        logits = means @ softmax + bias
-        chance = 1 / (1 + np.exp(-np.clip(logits[:, 1] - logits[:, 0], -60, 60)))
-        error = ((chance - label) * balance).astype(np.float32)
-        both = np.stack([-error, error], axis=1)
-        d_means = both @ softmax.T
-        d_vectors = np.zeros((len(index), SIZE), np.float32)
-        d_vectors[words_used] = np.add.reduceat((d_means[text] * times[:, None])[by_word], word_at, axis=0)
-        d_vectors *= weight[:, None]
-        d_grams = np.zeros_like(grams)
-        d_grams[grams_used] = np.add.reduceat(d_vectors[word_of[by_gram]], gram_at, axis=0)
-        for p, g, (m, v), rate in zip((grams, softmax, bias), (d_grams, means.T @ both, both.sum(axis=0)), state, RATES, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    value = np.full(BUCKETS, np.nan, np.float32)
-    value[names] = grams @ (softmax[:, 1] - softmax[:, 0])
-    return Model(value, float(bias[1] - bias[0]), {w: x for w, x in rare.items() if x < 0.95})
-
-
-def first_lines(texts: list[str]) -> list[str]:
-    """Each text without the lines that a text before it has: what many copies share is evidence once."""
-    seen: set[str] = set()
-    out = []
-    for text in texts:
-        lines = [x for x in dict.fromkeys(text.split("\n")) if x not in seen]
-        seen.update(lines)
-        out.append("\n".join(lines))
-    return out
-
-
-def cut_margin(margins: np.ndarray, label: np.ndarray, clean_weight: float = 1.0) -> float:
-    """The margin that errs least on these texts, in the middle between its neighbours; a clean text counts as clean_weight texts."""
+    held = np.zeros(BUCKETS)
+    for t in range(len(label)):
+        held[np.unique(bags.entries(np.array([t]))[1])] += 1
+    trust = held / (held + TRUST)
+    balance = np.where(label == 1, 0.5 / (label == 1).mean(), 0.5 / (label == 0).mean())
+    order = rng.permutation(len(label))
+    batches = np.array_split(order, -(-len(order) // BATCH))
+    passes = passes and max(passes, -(-STEPS // len(batches)))
+    steps, step = passes * len(batches), 0
+    for _ in range(passes):
+        for k in rng.permutation(len(batches)):
+            batch, left = batches[k], 1 - step / steps
+            step += 1
+            place, bucket, weight = bags.entries(batch)
+            means = np.zeros((len(batch), SIZE), np.float32)
+            vectors = grams[bucket]
+            vectors *= weight[:, None]
+            here, first = np.unique(place, return_index=True)
+            if len(here):
+                means[here] = np.add.reduceat(vectors, first, axis=0)
+            logits = means @ softmax + bias
+            chance = 1 / (1 + np.exp(-np.clip(logits[:, 1] - logits[:, 0], -60, 60)))
+            error = (chance - label[batch]) * balance[batch] / len(batch)
+            both = np.stack([-error, error], axis=1)
+            pull = softmax[:, 1] - softmax[:, 0]
+            amount = np.bincount(bucket, weight * error[place], BUCKETS)
+            moved = np.flatnonzero(amount)
+            grams[moved] -= (RATES[0] * left * (amount * trust)[moved])[:, None].astype(np.float32) * pull
+            softmax -= (RATES[1] * left * (means.T @ both)).astype(np.float32)
+            bias -= (RATES[1] * left * both.sum(axis=0)).astype(np.float32)
+    return Model(grams @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]), {w: x for w, x in bags.weight.items() if x < 0.95})
+
+
+def cut_margin(margins: np.ndarray, label: np.ndarray) -> float:
+    """The margin that errs least on these texts, a missed toxic one counted as MISSED clean ones, the middle one of several such, halfway between its neighbours."""
     order = np.argsort(margins, kind="stable")
     margins, label = margins[order], label[order]
-    errors = np.concatenate(([0], np.cumsum(label))) + clean_weight * np.concatenate(([0], np.cumsum(label[::-1] == 0)))[::-1]
+    errors = MISSED * np.concatenate(([0], np.cumsum(label))) + np.concatenate(([0], np.cumsum(label[::-1] == 0)))[::-1]
     best = np.flatnonzero(errors == errors.min())
     k = int(best[len(best) // 2])
     return float(margins[0] - 1 if k == 0 else margins[-1] + 1 if k == len(margins) else (margins[k - 1] + margins[k]) / 2)
 
 
-def train(texts: list[str], labels: list[int], clean_weight: float = 1.0, steps: int = STEPS) -> Model:
-    """Fit on two thirds of the texts and set the point of even chances on the others, which
-    fitting hasn't seen; clean_weight makes up for classes that were sampled unequally."""
-    held = [i for i in range(len(texts)) if i % 3 == 0]
-    if len({labels[i] for i in held}) < 2 or len({y for i, y in enumerate(labels) if i % 3}) < 2:
-        return fit(texts, labels, steps)
-    model = fit(first_lines([x for i, x in enumerate(texts) if i % 3]), [y for i, y in enumerate(labels) if i % 3], steps)
-    memo = Memo(model.word, WORDS)
-    margins = np.array([sum(v) / max(1, len(v)) for v in ([memo[w] for w in words_of(texts[i])] for i in held)])
-    model.bias = -cut_margin(margins, np.array([labels[i] for i in held]), clean_weight)
+def train(texts: list[str], labels: list[int]) -> Model:
+    """Fit on all texts but one of every HELD_BACK, and set the point of even chances on those, which fitting hasn't seen."""
+    held = set(range(0, len(texts), HELD_BACK))
+    fitted = [i for i in range(len(texts)) if i not in held]
+    if len({labels[i] for i in held}) < 2 or len({labels[i] for i in fitted}) < 2:
+        return fit(texts, labels)
+    model = fit([texts[i] for i in fitted], [labels[i] for i in fitted])
+    margins = []
+    for i in sorted(held):
+        words = words_of(texts[i])
+        distinct = list(dict.fromkeys(words))
+        value = dict(zip(distinct, model.words(distinct), strict=True))
+        margins.append(sum(value[w] for w in words) / (len(words) + CALM))
+    model.bias = -cut_margin(np.array(margins), np.array([labels[i] for i in sorted(held)]))
     return model
 
 
@@ -230,19 +219,19 @@ def folded(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC)) -> tuple[list[str], list[int], float]:
-    """Texts and labels of the labelled rows that may be learnt from, each class's of least hash
-    up to its bound, and how many clean ones a chosen one stands for, by toxic ones."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC), most_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[int]]:
+    """Texts and labels of the labelled rows that may be learnt from: of each class those of
+    least hash, whole texts, up to its bounds in rows and bytes."""
     known = labels.filter(F.col("toxic").isin(0, 1) & (folded(5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for y, n in enumerate(most):
         part = known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.union(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # sum(most) rows at most
-    there = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    stood_for = [max(1, there.get(y, 0) / n) for y, n in enumerate(most)]
-    return [x or "" for x in found.column("text").to_pylist()], found.column("toxic").to_pylist(), stood_for[0] / stood_for[1]
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_upto", F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(order)).filter(F.col("_upto") <= most_bytes)
+    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic").toArrow()  # sum(most) rows of 2 * most_bytes at most
+    return [x or "" for x in found.column(0).to_pylist()], found.column(1).to_pylist()
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -253,9 +242,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     place = own.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = Memo(model.word, WORDS).__getitem__
+        values = ManyMemo(model.words, WORD_BYTES)
         for batch in batches:
-            scores = [model.score(list(map(value, words_of(x)))) for x in batch.column(place).to_pylist()]
+            scores = []
+            for at in range(0, batch.num_rows, 256):
+                cut = [words_of(x) for x in batch.column(place).slice(at, 256).to_pylist()]
+                value = values.of(set().union(*cut))
+                scores += [model.score(list(map(value.__getitem__, x))) for x in cut]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*own, "score"])
 
     return docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, schema)
@@ -264,9 +257,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with score (0 to 1, higher: likelier toxic), learnt from labels of rows whose crc32(doc_id) mod 5 is not 0.
 
-    Null and empty texts have the score of no evidence.  Labels other than 0 and 1, or
-    without a doc_id, aren't learnt from; a doc_id labelled twice counts as toxic if either
-    label does.  Without labels of both classes every text gets one score.  Rows that repeat
-    repeat; an empty table gives an empty result.
+    Null and empty texts have the score of no evidence; a very long text is scored whole, by
+    all its words.  Labels other than 0 and 1, or without a doc_id, aren't learnt from; a
+    doc_id labelled twice counts as toxic if either label does.  Without labels of both
+    classes every text gets one score.  Rows that repeat repeat; an empty table gives an
+    empty result; a column `score` of docs gives way.
     """
     return scored(docs, train(*training_rows(docs, labels)))

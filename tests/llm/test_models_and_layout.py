@@ -22,15 +22,36 @@ def test_toxicity_shares_stems_with_misspellings():
             body[10:12] = rng.choice(bad, 2)
         texts.append(" ".join(body))
         labels.append(int(i % 3 == 0))
-    model = toxicity.train(texts, labels)
+    model = toxicity.fit(texts, labels)
 
     def score(text):
-        return model.score([model.word(w) for w in toxicity.words_of(text)])
+        return model.score(model.words(toxicity.words_of(text)))
 
     unseen = " ".join([*rng.choice(words, 58), "grumbl3ton", "grumblest"])
     assert score(unseen) > 0.5 > score(" ".join(rng.choice(words, 60)))
     assert 0 <= score("") <= 1
-    assert toxicity.train(texts, labels).bias == model.bias
+    assert toxicity.fit(texts, labels).bias == model.bias
+    start = toxicity.fit(texts, labels, 0)
+    held = [" ".join([*rng.choice(words, 58), *rng.choice(bad, 2)]) for _ in range(40)], [" ".join(rng.choice(words, 60)) for _ in range(40)]
+
+    def right(m):
+        return sum((m.score(m.words(toxicity.words_of(t))) >= 0.5) == (y == 0) for y, part in enumerate(held) for t in part)
+
+    assert right(model) >= 76 and right(start) <= 60  # training does the work, not its start
+
+
+def test_word_values_equal_plain_sums():
+    """Buckets of many words at once are those of each word by itself, and scores are plain means."""
+    model = toxicity.fit(["bad words here", "good words there"] * 5, [1, 0] * 5)
+    words = ["bad", "words", "é", "a" * 40, "中文字", "x"]
+    for w, value in zip(words, model.words(words), strict=True):
+        owner, bucket = toxicity.spelled([w])
+        marked = len(w) + 2
+        assert len(bucket) == 1 + sum(max(0, marked - n + 1) for n in toxicity.GRAMS) and not owner.any()
+        assert value == pytest.approx(model.weight.get(w, 1.0) * float(np.mean([float(model.value[b]) for b in bucket])))
+    assert model.words([]) == []
+    margin = sum(model.words(words)) / (len(words) + toxicity.CALM) + model.bias
+    assert model.score(model.words(words)) == pytest.approx(1 / (1 + np.exp(-margin)))
 
 
 def test_toxicity_held_out(spark):
@@ -94,6 +115,9 @@ def test_language_of_odd_rows(spark, odd, documents):
     assert all(rows[i]["lang_pred"] == "und" and rows[i]["score"] == 0 for i in (9001, 9002, 9003, 9004))
     assert rows[9008]["lang_pred"] != "und"
     assert {r["lang_pred"] for r in langid.identify(odd, documents.limit(0)).collect()} == {"und"}
+    numerals = spark.createDataFrame([(1, "½ ² ① Ⅷ 123"), (2, "½the²")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(numerals, documents).collect()}
+    assert got[1] == ("und", 0) and got[2][0] != "und"
     assert langid.identify(odd.limit(0), documents).count() == 0
     assert langid.identify(odd, documents.withColumn("lang", F.lit(None).cast("string"))).count() == odd.count()
 

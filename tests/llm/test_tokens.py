@@ -4,9 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from lodestone.llm import piece_codec, token_counts, token_store
@@ -106,12 +108,18 @@ def test_damage_is_seen():
         list(token_store.segments(bytes(data) + b"\n"))
 
 
-def test_word_encoder_equals_the_library():
+def test_word_encoder_equals_the_library(monkeypatch):
     t, e = Tokenizer.from_file(token_store.public_tokenizer()), token_store.WordEncoder(token_store.public_tokenizer())
     rng = random.Random(5)
     chars = " \n\t\x1c\x85'<|>ABcd éÉΣ1２é́̀中😀.,İıĿ"
-    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(24))) + rng.choice(["", "<|endoftext|>", "Σ ́", " ab."]) for _ in range(4000)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(24))) + rng.choice(["", "<|endoftext|>", "<|ENDOFTEXT|>", "Σ ́", " ab.", f" {'x' * 300}!!"]) for _ in range(4000)]
+    texts += ["".join(rng.choice("abAB.,;!? \n\té'sÀ1") for _ in range(rng.randrange(30))) for _ in range(4000)]
+    monkeypatch.setattr(token_store, "WORD_BYTES", 1 << 18)  # so that words are forgotten and come again
+    for at in range(0, len(texts), 500):
+        ids, counts = e.encode(pa.array([*texts[at : at + 500], None]))
+        wanted = [x.ids for x in t.encode_batch(texts[at : at + 500], add_special_tokens=False)]
+        assert counts.tolist() == [*map(len, wanted), 0]
+        assert ids.tolist() == [i for x in wanted for i in x]
 
 
 @pytest.mark.parametrize("segment", [token_store.SEGMENT, 50])
@@ -132,3 +140,45 @@ def test_token_files(spark, mixed, monkeypatch, segment):
         seen.setdefault(r["doc_id"], []).append((r["n_tokens"], r["ids_crc32"]))
     assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(v) for k, v in wanted.items()}
     assert token_store.token_files(mixed.limit(0))[0].count() == 0
+    # Single documents out of the files.
+    texts = {r["doc_id"]: r["text"] for r in mixed.collect()}
+    asked = spark.createDataFrame([(i,) for i in (9001, 9005, 9007, 1, 7, 123456)], "doc_id long")
+    got = {r["doc_id"]: r["ids"] for r in token_store.read_tokens(spark, path, asked).collect()}
+    assert got == {i: [*t.encode(texts[i] or "", add_special_tokens=False).ids, 1] for i in (9001, 9005, 9007, 1, 7)}
+    assert token_store.read_tokens(spark, path, asked.limit(0), 0).count() == 0
+
+
+def test_equal_rows_and_large_parts_are_dealt_out(spark, monkeypatch):
+    """A third of all rows is one row, and files end after a bounded number of segments."""
+    monkeypatch.setattr(token_store, "SEGMENT", 200)
+    monkeypatch.setattr(token_store, "FILE_SEGMENTS", 3)
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "if(id % 3 = 0, null, 'some words here') as text", "id as start", "id as n_tokens")
+    rows, path = token_store.token_files(docs, parts=6)
+    found = sorted((r["start"], r["n_tokens"]) for r in rows.collect())
+    assert len(found) == 3000 and all(a + n == b for (a, n), (b, _) in zip(found, found[1:], strict=False))
+    held = token_store.read_token_files(spark, path).groupBy("file").agg(F.count_distinct("at").alias("n"), F.min("part").alias("part")).collect()
+    assert max(r["n"] for r in held) <= 3 and len(held) > 6
+    assert token_store.read_token_files(spark, path).filter("doc_id is null").select("part").distinct().count() >= 2
+
+
+def test_memories_are_bounded_in_bytes():
+    """Texts without spaces, as of Chinese, are one long part each and aren't kept."""
+    from lodestone.llm.pretokens import ENTRY_BYTES, ManyMemo, Memo
+
+    kept, many = Memo(len, 1 << 20), ManyMemo(lambda keys: list(map(len, keys)), 1 << 20)
+    for i in range(100_000):
+        assert kept[f"{i}字" * 2] and kept["中" * 3000 + str(i)]
+    for i in range(0, 100_000, 1000):
+        keys = {f"{j}字" * 2 for j in range(i, i + 1000)} | {"中" * 3000 + str(i)}
+        found = many.of(keys)
+        assert all(found[k] == len(k) for k in keys)
+    for young, old in ((kept, kept.old), (many.young, many.old)):
+        assert max(map(len, young)) < 300 and (len(young) + len(old)) * ENTRY_BYTES < (1 << 20) + 2000 * ENTRY_BYTES
+
+
+def test_long_pretokens_count_as_in_the_trie():
+    counter = token_counts.CountTrie(token_counts.unigram_scores(token_counts.public_model()))
+    rng = random.Random(1)
+    for n in (1, 9, 300, 1500):
+        word = "".join(rng.choice("abcdefthing中文😀é") for _ in range(n))
+        assert counter.insert(word) == counter.unshared(word) == counter.count(word)
