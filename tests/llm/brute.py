@@ -69,3 +69,25 @@ def contamination(text, items, size=13):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def firsts_of_near_copies(texts, size=5, least=0.8):
+    """Indices of the first text of each group that pairs of at least this Jaccard similarity of word shingles join."""
+    sets = []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", small_letters(text))
+        sets.append(frozenset(" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset())
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (a and b and least * max(len(a), len(b)) <= min(len(a), len(b)) and len(a & b) >= least * len(a | b) - 1e-9):
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    return [i for i in range(len(sets)) if top(i) == i]
