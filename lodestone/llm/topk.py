@@ -7,13 +7,15 @@ sum of l * ((m1 - m2)^2 + (s1 - s2)^2), so with the norms their inner product is
     (|q|^2 + |x|^2 - that sum) / 2  =  sum of l * (m1 * m2 + s1 * s2),
 
 which for all pairs of two blocks is one product of small matrices.  Levels go from one
-segment to many; pairs whose bound falls below the query's k-th best so far are dropped, and
-exact integer products decide among the survivors.
-
-Queries come in blocks of bounded size; each block is sent to the workers and every
-candidate row meets it where it lies, so candidates are never shuffled.  A first look at a
-bounded number of rows gives each query a k-th score that the true one can't fall below;
-workers return at most their k best rows a query and none below it.
+segment to many; pairs whose bound falls below the query's k-th best so far are dropped, rows
+and queries without a pair left drop out of the next level, and exact integer products, also
+block by block, decide among the survivors.
+
+Queries come in blocks of bounded size, one after another: the driver holds one block at a
+time, sends it out, and each candidate row meets it where it lies, so candidates are never
+shuffled.  A first look at a bounded number of rows gives each query a k-th score that the
+true one can't fall below; workers return at most their k best rows a query and none below
+it, and what they found for a block is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ready, stored
+from lodestone.llm.common import discard, ready, stored
 
-SCALE, K, LEVELS = 1024, 10, (1, 4, 16)
+SCALE, K, LEVELS = 1024, 10, (1, 4, 16, 32)
 #: Queries that are sent to the workers at a time, and rows of the first look.
 QUERY_BLOCK, FIRST_LOOK = 8192, 4096
+#: Queries of a block whose matrix with a batch of rows is worked out at a time.
+QUERY_TILE = 512
 #: Products and sums below this are exact in doubles.
 EXACT = 2.0**53
 
@@ -50,51 +54,87 @@ def features(codes: np.ndarray, segments: int) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of matching rows; Python's integers where doubles would not do."""
-    if a.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] >= EXACT:
-        return np.array([sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for p, q in zip(a, b, strict=True)], object)
-    return np.einsum("ij,ij->i", a, b).astype(np.int64)
+    """Exact inner products of all rows of a and of b; Python's integers where doubles would not do."""
+    if a.size and b.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] >= EXACT:
+        wide = [np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (a, b)]
+        return wide[0] @ wide[1].T
+    return a @ b.T
 
 
 class Block:
     """Queries of one length, their statistics, and the best rows found for them."""
 
     def __init__(self, ids: np.ndarray, codes: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS, floor: np.ndarray | None = None):
-        self.ids, self.codes, self.k, self.levels = ids, codes, k, levels
-        self.features = [features(codes, n) for n in levels]
+        self.ids, self.codes, self.k = ids, codes, k
+        self.levels = [n for n in levels if n < codes.shape[1]]  # at a segment a component the bound would be the product itself
+        self.features = [features(codes, n) for n in self.levels]
         self.norms = np.sqrt((codes**2).sum(axis=1))
         self.floor = np.full(len(ids), -np.inf) if floor is None else floor
-        self.query, self.row, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.query, self.row, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)
+        self.pairs = self.exact = 0  # pairs met, and those that no bound dropped
 
     def meet(self, ids: np.ndarray, codes: np.ndarray) -> None:
         """Keep what these rows change in the best."""
-        slack = 1e-9 * np.outer(self.norms, np.sqrt((codes**2).sum(axis=1))) + 1e-3
-        alive = self.ids[:, None] != ids[None, :]
+        for at in range(0, len(self.ids), QUERY_TILE):
+            self._meet(slice(at, at + QUERY_TILE), ids, codes)
+
+    def _meet(self, tile: slice, ids: np.ndarray, codes: np.ndarray) -> None:
+        slack = 1e-9 * np.outer(self.norms[tile], np.sqrt((codes**2).sum(axis=1))) + 1e-3
+        alive = self.ids[tile, None] != ids[None, :]
+        floor = self.floor[tile, None]
+        self.pairs += int(alive.sum())
+        q, x = np.arange(len(alive)), np.arange(len(ids))
         for n, own in zip(self.levels, self.features, strict=True):
-            q, x = alive.any(axis=1), alive.any(axis=0)
-            if not q.any():
+            at = np.ix_(q, x) if alive.size != len(q) * len(x) else ...
+            bound = own[tile][q] @ features(codes[x], n).T
+            bound += slack[at]
+            some = bound >= floor[q]
+            some &= alive[at]
+            alive[at] = some
+            q, x = q[some.any(axis=1)], x[some.any(axis=0)]
+            if not len(q):
                 return
-            bound = own[q] @ features(codes[x], n).T + slack[np.ix_(q, x)]
-            alive[np.ix_(q, x)] &= bound >= self.floor[q, None]
-        q, x = np.nonzero(alive)
-        for at in range(0, len(q), 1 << 18):
-            a, b = q[at : at + (1 << 18)], x[at : at + (1 << 18)]
-            score = products(self.codes[a], codes[b])
-            good = score >= self.floor[a]
-            self.query, self.row, self.score = (np.concatenate(p) for p in ((self.query, a[good]), (self.row, ids[b[good]]), (self.score, score[good])))
-            order = np.lexsort((self.row, -self.score, self.query))
-            self.query, self.row, self.score = self.query[order], self.row[order], self.score[order]
-            first = np.concatenate(([True], self.query[1:] != self.query[:-1]))
-            rank = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-            keep = rank < self.k
-            full = rank == self.k - 1
-            self.floor[self.query[full]] = np.maximum(self.floor[self.query[full]], self.score[full].astype(np.float64))
-            self.query, self.row, self.score = self.query[keep], self.row[keep], self.score[keep]
+        score = products(self.codes[tile][q], codes[x])
+        some = alive[np.ix_(q, x)]
+        self.exact += int(some.sum())
+        good = np.nonzero(some & (score >= floor[q]))
+        a, b = q[good[0]] + tile.start, x[good[1]]
+        found = score[good]
+        if not len(a):
+            return
+        query, row = np.concatenate([self.query, a]), np.concatenate([self.row, ids[b]])
+        score = np.concatenate([self.score, np.fromiter(map(int, found), object, len(found))])
+        by_score = -score.astype(np.float64) if not len(score) or max(map(abs, score)) < EXACT else _places(score)
+        order = np.lexsort((row, by_score, query))
+        query, row, score = query[order], row[order], score[order]
+        first = np.concatenate(([True], query[1:] != query[:-1]))
+        rank = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        full = rank == self.k - 1
+        self.floor[query[full]] = np.maximum(self.floor[query[full]], [_below(v) for v in score[full]])
+        keep = rank < self.k
+        self.query, self.row, self.score = query[keep], row[keep], score[keep]
+
+
+def _places(score: np.ndarray) -> np.ndarray:
+    """Places of integers too large for doubles, the largest first, equal ones alike."""
+    order = {v: i for i, v in enumerate(sorted(set(score.tolist()), reverse=True))}
+    return np.array([order[v] for v in score.tolist()])
+
+
+def _below(value: int) -> float:
+    """The double nearest to an integer, or the next one under it if that is above."""
+    near = float(value)
+    return near if near <= value else float(np.nextafter(near, -np.inf))
 
 
 def by_length(ids: list[int], vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    lengths = np.array([len(v) for v in vectors])
-    return {int(n): (np.array(ids, np.int64)[lengths == n], np.array([v for v, m in zip(vectors, lengths == n, strict=True) if m], np.float64).reshape(int((lengths == n).sum()), n)) for n in np.unique(lengths)}
+    """Ids and vectors by the vectors' length."""
+    lengths, numbers = np.array([len(v) for v in vectors], np.int64), np.array(ids, np.int64)
+    out = {}
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        out[n] = numbers[at], np.array([vectors[i] for i in at.tolist()], np.float64).reshape(len(at), n)
+    return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, levels: tuple[int, ...] = LEVELS, query_block: int = QUERY_BLOCK, first_look: int = FIRST_LOOK) -> DataFrame:
@@ -104,7 +144,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     non-finite components, or without a vec_id, take no part; vectors of other lengths than
     a query's never meet it.  Rows with a query's own vec_id are not its candidates; other
     rows that repeat are candidates each.  A query id that repeats is asked once, with its
-    smallest vector.  Scores that no 64-bit integer holds raise an error.
+    smallest vector; of equal scores the smaller vec_id goes first.  Scores that no 64-bit
+    integer holds raise an error.  Vectors of any length, an empty table and other columns,
+    whatever their names, are fine; with an empty table the result is empty.
     """
     spark = vectors.sparkSession
     ready(spark)
@@ -114,28 +156,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad)
 
     rows = sound(vectors)
-    asked, _ = stored(sound(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    asked = sound(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked, asked_path = stored(asked, "queries")
     n_blocks = max(1, -(-asked.count() // query_block))
     look = rows.limit(first_look).toArrow()
     seen = by_length(look.column(0).to_pylist(), look.column(1).to_pylist())
     out = None
     for i in range(n_blocks):
-        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == i).toArrow()  # about query_block rows
+        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == i).toArrow()  # about query_block rows; the block before is gone
         blocks = {}
         for length, (ids, values) in by_length(part.column(0).to_pylist(), part.column(1).to_pylist()).items():
             first = Block(ids, integers(values, scale), k, levels)
             if length in seen:
                 first.meet(seen[length][0], integers(seen[length][1], scale))
             blocks[length] = (ids, values, first.floor)
-        found = rows.mapInArrow(_meet_block(blocks, k, scale, levels), "query_id long, vec_id long, score long")
+        sent = spark.sparkContext.broadcast(blocks)
+        found, _ = stored(rows.mapInArrow(_meet_block(sent, k, scale, levels), "query_id long, vec_id long, score long"), "block-hits")
+        sent.destroy()
         out = found if out is None else out.union(found)
+    discard(spark, asked_path)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _meet_block(queries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, scale: int, levels: tuple[int, ...]):
+def _meet_block(queries, k: int, scale: int, levels: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = {n: Block(ids, integers(values, scale), k, levels, floor.copy()) for n, (ids, values, floor) in queries.items()}
+        blocks = {n: Block(ids, integers(values, scale), k, levels, floor.copy()) for n, (ids, values, floor) in queries.value.items()}
         for batch in batches:
             for length, (ids, values) in by_length(batch.column(0).to_pylist(), batch.column(1).to_pylist()).items():
                 if length in blocks:

@@ -158,6 +158,20 @@ def test_bounds_hold_at_every_level():
         before = bound
 
 
+def test_bounds_drop_pairs(spark):
+    """Of all pairs, a good part never reaches the exact product, on vectors without clusters too."""
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    ((ids, values),) = topk.by_length(*zip(*rows, strict=True)).values()
+    codes, asked = topk.integers(values), ids % 100 == 0
+    block = topk.Block(ids[asked], codes[asked], 10)
+    block.meet(ids, codes)
+    again = topk.Block(ids[asked], codes[asked], 10, floor=block.floor.copy())
+    for at in range(0, len(ids), 500):
+        again.meet(ids[at : at + 500], codes[at : at + 500])
+    assert again.pairs == int(asked.sum()) * (len(ids) - 1) and again.exact < 0.6 * again.pairs
+    assert sorted(zip(again.query, again.row, again.score, strict=True)) == sorted(zip(block.query, block.row, block.score, strict=True))
+
+
 def check_shards(docs, shards=40):
     rows, given = sharding.shard_documents(docs, shards).toPandas(), docs.select("doc_id", "text").toPandas()
     n = len(given)
