@@ -5,27 +5,32 @@ not hold any window.  Windows and documents are sets of word shingles.  Containm
 window needs all of its shingles, so a prefix of one shingle suffices as a filter, and the
 rarest over all documents filters most.  The join goes
 
-  shingles of documents  x  shingles of items   -> hits, counted for rarity
-  hits                   x  rarest of each window -> (text, item, diagonal)
+  item shingles       x  documents  -> how often each occurs: the order by rarity
+  rarest of a window  x  documents  -> (text, item, diagonal)
 
-A diagonal is document place minus item place; the bounds on place and length cut what an
-item and a document can share on it, and there the words themselves are compared one by one,
-so hash collisions change nothing.  Equal runs as long as a window are the hit places.
+Both keep documents where they lie: the item side is sent to all executors, in as many
+blocks of bounded size as it takes.  An item's shingles and windows are a row a place, so
+work is linear in its length.  A diagonal is document place minus item place; the bounds on
+place and length cut what an item and a document can share on it, only that stretch of the
+document leaves it, and there the words themselves are compared one by one, so hash
+collisions change nothing.  Equal runs as long as a window are the hit places.
 
-Texts are keyed by two 64-bit hashes and each is worked out once however many copies it has.
+Texts are keyed by two 64-bit hashes, so that copies share their candidates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import attach, packed, stored, text_key, unpacked
-from lodestone.llm.spans import regex_spans
+from lodestone.llm.common import attach, discard, packed, stored, text_key, unpacked
+from lodestone.llm.spans import let, regex_spans
 
 WINDOW, SHINGLE = 13, 3
-#: Item shingles (16 bytes each) and candidates (some 500 bytes each) up to which their tables are sent to every executor.
-SENT_SHINGLES, SENT_CANDIDATES = 500_000, 30_000
+#: Item shingles that are sent to every executor at a time (some 40 bytes each), hit texts up to whose number their table is.
+SENT_SHINGLES, SENT_CANDIDATES = 1_000_000, 30_000
+#: Bytes of words up to which items are sent to every executor; beyond, candidates are shuffled to them.
+SENT_BYTES = 16 << 20
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,27 +47,67 @@ def shingles_of(words: Column, size: int) -> Column:
     return F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, size)]))
 
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """item, item_id, words, size (shingle words), start and, exploded, place and shingle of each window."""
+def item_words(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """item (a number), item_id, words, long (words of its windows) and size (words of its shingles) of each distinct item with words."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct()
-    items = items.select("item_id", "words", F.least(F.size("words"), F.lit(window)).alias("long"), F.least(F.size("words"), F.lit(shingle)).alias("size"))
+    return items.select(F.monotonically_increasing_id().alias("item"), "item_id", "words", F.least(F.size("words"), F.lit(window)).alias("long"), F.least(F.size("words"), F.lit(shingle)).alias("size"))
+
+
+def item_shingles(items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """item, long, size, n (words of the item), place and shingle: a row a place at which a shingle starts."""
     hashed = F.lit(None).cast("array<bigint>")
     for k in range(1, shingle + 1):
-        hashed = F.when(F.col("size") == k, shingles_of(F.col("words"), k)).otherwise(hashed)
-    starts = items.withColumn("hashes", hashed).withColumn("start", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("long"))))
-    return starts.withColumn("place", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("long") - F.col("size")))).withColumn("shingle", F.get("hashes", F.col("place"))).drop("hashes")
+        hashed = F.when(F.col("size") == k, F.slice(shingles_of(F.col("words"), k), F.lit(1), F.size("words") - F.lit(k - 1))).otherwise(hashed)
+    return items.select("item", "long", "size", F.size("words").alias("n"), F.posexplode(hashed).alias("place", "shingle"))
+
+
+def rarest_of_windows(shingles: DataFrame, seen: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """item, n, size, shingle and place of the rarest shingle of each window of which every shingle was seen.
+
+    A frame holds the shingles of the window that starts at its first row; a shorter item is
+    one window, and its only full frame is the first.
+    """
+    ranked = shingles.join(seen, ["size", "shingle"], "left")
+    frame = Window.partitionBy("item").orderBy("place").rowsBetween(0, max(0, window - shingle))
+    rarest = F.min(F.when(F.col("seen").isNotNull(), F.struct("seen", "shingle", "place"))).over(frame)
+    framed = ranked.select("item", "n", "size", (F.col("long") - F.col("size") + 1).alias("needed"), F.count("seen").over(frame).alias("there"), rarest.alias("x"))
+    return framed.filter("there = needed").select("item", "n", "size", "x.shingle", "x.place").distinct()
+
+
+def meetings(docs: DataFrame, wanted: DataFrame, most: int = SENT_SHINGLES) -> DataFrame:
+    """_key_a, _key_b, at and wanted's columns wherever a document has one of its shingles (size, shingle).
+
+    Documents stay where they are; wanted, a stored table, meets them in blocks of `most` rows
+    or so, each sent to all executors.
+    """
+    sizes = {r["size"]: r["n"] for r in wanted.groupBy("size").agg(F.count("*").alias("n")).collect()}  # a row a size of shingles
+    cut = docs.select(*text_key(), words_of(F.col("text")).alias("_words"))  # a step of its own, so that words are cut once a text
+    found = None
+    for size, rows in sizes.items():
+        placed = cut.select("_key_a", "_key_b", F.posexplode(shingles_of(F.col("_words"), size)).alias("at", "shingle"))
+        blocks = -(-rows // max(1, most))
+        for i in range(blocks):
+            own = (F.col("size") == size) & (F.pmod(F.xxhash64(*wanted.columns), F.lit(blocks)) == i)
+            part = placed.join(F.broadcast(wanted.filter(own)), "shingle")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = docs.select(*text_key(), F.lit(0).alias("at")).crossJoin(wanted.limit(0)).limit(0)
+    return found
+
 
+def overlap(part: Column, words: Column, first: Column, diagonal: Column, long: Column, window: int) -> Column:
+    """Stretches (start, end) of document places where windows of an item stand on one diagonal;
+    part is the document's stretch from place first + diagonal on, words the item's."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+    same = F.zip_with(F.slice(words, first + 1, F.size(part)), part, lambda a, b: F.when(a == b, "1").otherwise("0"))
+    begin = (first + diagonal).cast("long")
 
-def overlap(words: Column, hit: Column, window: int) -> Column:
-    """Stretches (start, end) of document places where an item's windows stand on one diagonal."""
-    item, diagonal = hit["words"], hit["diagonal"]
-    first = F.greatest(F.lit(0), -diagonal)
-    shared = F.least(F.size(item) - first, F.size(words) - first - diagonal)
-    same = F.zip_with(F.slice(item, first + 1, shared), F.slice(words, first + diagonal + 1, shared), lambda a, b: F.when(a == b, "1").otherwise("0"))
-    whole = F.array_join(same, "")
-    runs = F.transform(regex_spans(whole, f"1{{{window},}}"), lambda x: F.struct((x["start"] + first + diagonal).alias("start"), (x["end"] + first + diagonal).alias("end")))
-    short = F.array(F.struct((first + diagonal).cast("long").alias("start"), (first + diagonal + F.size(item)).cast("long").alias("end")))
-    return F.when(shared < F.least(F.size(item), F.lit(window)), F.array().cast("array<struct<start:bigint,end:bigint>>")).when(F.size(item) >= window, runs).when(whole == F.repeat(F.lit("1"), F.size(item)), short).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    def stretches(whole: Column) -> Column:
+        runs = F.transform(regex_spans(whole, f"1{{{window},}}"), lambda x: F.struct((x["start"] + begin).alias("start"), (x["end"] + begin).alias("end")))
+        short = F.array(F.struct(begin.alias("start"), (begin + F.size(words)).cast("long").alias("end")))
+        return F.when(F.size(words) >= window, runs).when(whole == F.repeat(F.lit("1"), F.size(words)), short).otherwise(F.array().cast(kind))
+
+    return F.when(F.size(part) < long, F.array().cast(kind)).otherwise(let(F.array_join(same, ""), stretches))
 
 
 def covered(stretches: Column) -> Column:
@@ -76,50 +121,57 @@ def covered(stretches: Column) -> Column:
     return F.aggregate(stretches, start, step, lambda acc: acc["n"])
 
 
-def candidates(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, most_shingles: int = SENT_SHINGLES) -> DataFrame:
-    """_key_a, _key_b and _hits: (item_id, words, diagonal) of each text that holds the rarest shingle of some window."""
-    windows, _ = stored(item_windows(benchmark, window, shingle), "item-windows")
-    asked = windows.select("size", "shingle").distinct()
-    sizes = {r["size"]: r["n"] for r in asked.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most `shingle` rows
-    found, cut = None, docs.select(*text_key(), words_of(F.col("text")).alias("_words"))  # a step of its own, so that words are cut once a text
-    for size, rows in sizes.items():
-        placed = cut.select("_key_a", "_key_b", F.posexplode(shingles_of(F.col("_words"), size)).alias("at", "shingle"))
-        wanted = asked.filter(F.col("size") == size).select("shingle")
-        part = placed.join(F.broadcast(wanted) if rows <= most_shingles else wanted, "shingle").withColumn("size", F.lit(size))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.select(*text_key(), F.lit(0).alias("at"), F.lit(0).cast("long").alias("shingle"), F.lit(0).alias("size")).limit(0)
-    hits, _ = stored(found.distinct(), "shingle-hits")
-    rarity = hits.groupBy("size", "shingle").agg(F.count("*").alias("seen"))
-    ranked = windows.join(rarity, ["size", "shingle"])  # a window with an unseen shingle can't occur
-    needed = F.col("long") - F.col("size") + 1
-    rarest = ranked.groupBy("item_id", "words", "start", "long", "size").agg(F.count("*").alias("n"), F.min(F.struct("seen", "shingle", "place")).alias("x")).filter(F.col("n") == needed)
-    prefix = rarest.select("item_id", "words", "size", F.col("x.shingle").alias("shingle"), F.col("x.place").alias("place")).distinct()
-    met = hits.join(prefix, ["size", "shingle"]).select("_key_a", "_key_b", F.struct("item_id", "words", (F.col("at") - F.col("place")).alias("diagonal")).alias("hit"))
-    return met.groupBy("_key_a", "_key_b").agg(F.collect_set("hit").alias("_hits"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, most_shingles: int = SENT_SHINGLES, most_candidates: int = SENT_CANDIDATES) -> DataFrame:
+def candidates(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, most_shingles: int = SENT_SHINGLES) -> DataFrame:
+    """_key_a, _key_b and _hits: (item, n, diagonal) of each text that holds the rarest shingle of some window."""
+    spark = docs.sparkSession
+    shingles, shingles_path = stored(item_shingles(items, shingle), "item-shingles")
+    asked, asked_path = stored(shingles.select("size", "shingle").distinct(), "asked-shingles")
+    seen, seen_path = stored(meetings(docs, asked, most_shingles).groupBy("size", "shingle").agg(F.count("*").alias("seen")), "seen-shingles")
+    prefix, prefix_path = stored(rarest_of_windows(shingles, seen, window, shingle), "window-prefixes")
+    met = meetings(docs, prefix, most_shingles).select("_key_a", "_key_b", F.struct("item", "n", (F.col("at") - F.col("place")).alias("diagonal")).alias("hit"))
+    found, _ = stored(met.groupBy("_key_a", "_key_b").agg(F.collect_set("hit").alias("_hits")), "window-hits")
+    for path in (shingles_path, asked_path, seen_path, prefix_path):
+        discard(spark, path)
+    return found
+
+
+def occurring(docs: DataFrame, items: DataFrame, hits: DataFrame, window: int = WINDOW, most_candidates: int = SENT_CANDIDATES, most_bytes: int = SENT_BYTES) -> DataFrame:
+    """_key_a, _key_b, n_hit and items of the texts in which windows occur: candidates whose words are equal."""
+    total = hits.agg(F.sum(F.size("_hits")).alias("n")).first()["n"] or 0
+    size = items.agg(F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + 40 + F.octet_length(w))).alias("n")).first()["n"] or 0
+    side = F.broadcast(hits) if total <= most_candidates else hits
+    texts = docs.select(*text_key(), "text").join(side, ["_key_a", "_key_b"]).select("_key_a", "_key_b", "_hits", words_of(F.col("text")).alias("_words"))
+    each = texts.select("_key_a", "_key_b", "_words", F.explode("_hits").alias("hit")).select("_key_a", "_key_b", "_words", "hit.*")
+    first = F.greatest(F.lit(0), -F.col("diagonal"))
+    shared = F.greatest(F.lit(0), F.least(F.col("n") - first, F.size("_words") - first - F.col("diagonal")))
+    parts = each.select("_key_a", "_key_b", "item", "diagonal", first.alias("first"), F.slice("_words", first + F.col("diagonal") + 1, shared).alias("part"))
+    whole = parts.join(F.broadcast(items) if size <= most_bytes else items, "item")
+    at = whole.select("_key_a", "_key_b", "item_id", overlap(F.col("part"), F.col("words"), F.col("first"), F.col("diagonal"), F.col("long"), window).alias("at")).filter(F.size("at") > 0)
+    of_text = at.groupBy("_key_a", "_key_b").agg(F.array_sort(F.flatten(F.collect_set("at"))).alias("at"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
+    return of_text.select("_key_a", "_key_b", covered(F.col("at")).alias("_n_hit"), "_items")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, most_shingles: int = SENT_SHINGLES, most_candidates: int = SENT_CANDIDATES, most_bytes: int = SENT_BYTES) -> DataFrame:
     """docs with n_words, n_hit (words inside an occurring window) and items (ids of items with one, as sorted strings).
 
-    Null and empty texts have no words; items without words have no window; an item without
-    an id marks words but is not listed.  Items that repeat count once by id, rows of docs
-    each by itself.  Without documents or items nothing is hit.
+    Null and empty texts have no words; texts and items of any length are read whole.  Items
+    without words have no window; an item without an id marks words but is not listed.  Items
+    that repeat count once by id, rows of docs each by itself.  Columns n_words, n_hit and
+    items of docs give way, other names can't clash.  Without documents or items nothing is hit.
     """
-    found, _ = stored(candidates(docs, benchmark, window, shingle, most_shingles), "contaminated")
-    rows = found.agg(F.sum(F.size("_hits")).alias("n")).first()["n"] or 0
-    keyed = packed(docs).select("_row", "text", words_of(F.col("text")).alias("_words"), *text_key())
-    marked = attach(keyed, found, ["_key_a", "_key_b"], rows, most_candidates)
-    each = F.transform(F.col("_hits"), lambda h: F.struct(h["item_id"].alias("item_id"), overlap(F.col("_words"), h, window).alias("at")))
-    true = F.filter(each, lambda x: F.size(x["at"]) > 0)
-    places = F.array_sort(F.flatten(F.transform(true, lambda x: x["at"])))
-    items = F.array_sort(F.array_distinct(F.filter(F.transform(true, lambda x: x["item_id"].cast("string")), lambda x: x.isNotNull())))
-    none = F.col("_hits").isNull()
+    spark = docs.sparkSession
+    items, items_path = stored(item_words(benchmark, window, shingle), "item-words")
+    hits = candidates(docs, items, window, shingle, most_shingles)
+    found, _ = stored(occurring(docs, items, hits, window, most_candidates, most_bytes), "contaminated")
+    discard(spark, items_path)
+    size = found.agg(F.sum(F.size("_items") + 1).alias("n")).first()["n"] or 0
+    keyed = packed(docs).select("_row", "text", *text_key())
+    marked = attach(keyed, found, ["_key_a", "_key_b"], size, most_candidates)
     return marked.select(
         *unpacked(docs, ("n_words", "n_hit", "items")),
-        F.size("_words").cast("long").alias("n_words"),
-        F.when(none, F.lit(0)).otherwise(covered(places)).cast("long").alias("n_hit"),
-        F.when(none, F.array().cast("array<string>")).otherwise(items).alias("items"),
+        F.size(words_of(F.col("text"))).cast("long").alias("n_words"),
+        F.coalesce("_n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
     )
 
 

@@ -2,10 +2,12 @@
 
 A Boolean query over trigrams follows from each rule's regular expression: what every match
 must hold.  The index has the postings (trigram, text) of the trigrams that rules ask for,
-over the text with small letters, so it serves rules with and without regard to case.
-Postings are intersected and united per text; texts that meet a rule's query are its
-candidates, and only there its expression is run.  A rule without a mandatory trigram, such
-as a run of hexadecimal digits, has every text as a candidate.
+over the text with small letters, so it serves rules with and without regard to case.  A
+query is an alternative of conjunctions; a conjunction meets the postings of its trigrams
+and keeps the texts that stand in all of them, all conjunctions at once in one join on the
+trigram.  Those texts are a rule's candidates, and only there its expression is run.  A rule
+without a mandatory trigram, such as a run of hexadecimal digits, has every text as a
+candidate.
 
 Texts are told apart by two 64-bit hashes.  Were two texts ever to share both, each would
 get the other's candidates as well, and the expressions would settle it: the index decides
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import attach, packed, stored, text_key, unpacked
-from lodestone.llm.spans import SPAN, regex_spans
+from lodestone.llm.spans import SPAN, let, regex_spans, running
 
 
 @dataclass(frozen=True)
@@ -145,34 +147,45 @@ def trigram_index(docs: DataFrame, grams: Iterable[str]) -> DataFrame:
     return low.select(F.explode(held).alias("gram"), "_key_a", "_key_b")
 
 
-def met(query: Query, grams: Column) -> Column:
+def conjunctions(query: Query) -> list[frozenset[str]]:
+    """The alternatives of a query, each a set of trigrams that all must be there."""
+    if query is True:
+        return [frozenset()]
     if isinstance(query, str):
-        return F.array_contains(grams, query)
-    sides = [met(x, grams) for x in query[1]]
-    out = sides[0]
-    for x in sides[1:]:
-        out = out & x if query[0] == "and" else out | x
-    return out
+        return [frozenset([query])]
+    sides = [conjunctions(x) for x in query[1]]
+    if query[0] == "or":
+        found = {x for side in sides for x in side}
+    else:
+        found = {frozenset().union(*x) for x in product(*sides)}
+    return sorted((x for x in found if not any(y < x for y in found)), key=sorted)
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """_key_a, _key_b and _rules, the kinds whose query the text's postings meet; rules without a query aren't listed.
+    """_key_a, _key_b and _rules, the kinds for which the text stands in all postings of some
+    conjunction; rules without a query aren't listed.
 
     A text has as many postings as rules have trigrams at most, so no group grows with the input.
     """
-    asked = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not True}
-    if not asked:
-        return index.select("_key_a", "_key_b", F.array().cast("array<string>").alias("_rules")).limit(0)
-    by_text = index.groupBy("_key_a", "_key_b").agg(F.collect_set("gram").alias("_grams"))
-    kinds = F.filter(F.array(*[F.when(met(q, F.col("_grams")), F.lit(k)) for k, q in asked.items()]), lambda x: x.isNotNull())
-    return by_text.select("_key_a", "_key_b", kinds.alias("_rules")).filter(F.size("_rules") > 0)
+    spark = index.sparkSession
+    rows, number = [], 0
+    for rule in rules:
+        if (query := trigram_query(rule.pattern)) is not True:
+            for grams in conjunctions(query):
+                rows += [(number, rule.kind, gram, 1 << i, (1 << len(grams)) - 1) for i, gram in enumerate(sorted(grams))]
+                number += 1
+    asked = spark.createDataFrame(rows, "_part int, _kind string, gram string, _bit long, _all long")  # as long as the rules are
+    met = index.join(F.broadcast(asked), "gram").groupBy("_key_a", "_key_b", "_part", "_kind", "_all").agg(F.bit_or("_bit").alias("_seen"))
+    return met.filter("_seen = _all").groupBy("_key_a", "_key_b").agg(F.collect_set("_kind").alias("_rules"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, most_rows: int = SENT_ROWS) -> DataFrame:
     """docs with `spans`: an array of (start, rank, kind, end) by start, then in the order of the rules.
 
-    Places count code points, ends are exclusive.  Null texts have no spans.  Rows are judged
-    each by its own text, so repeated rows repeat; an empty table gives an empty result.
+    Places count code points, ends are exclusive.  Null and empty texts have no spans.  Texts
+    are scanned whole; the work grows with their length and the number of matches.  Rows are
+    judged each by its own text, so repeated rows repeat; a column `spans` of docs gives way,
+    other names can't clash; an empty table gives an empty result.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     index = trigram_index(docs, set().union(*map(grams_of, queries.values())))
@@ -196,15 +209,20 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+#: Spans up to which pieces are cut out of the text itself: each such cut goes through the text from its start.
+CUT_SPANS = 64
+
+
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each stretch of spans, overlapping ones as one, replaced by the mark."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        kept = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        out = F.when(fresh, F.concat(acc["out"], kept, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    def joined(piece) -> Column:
+        """piece(start, size) for what stands before each fresh span and after the last one."""
+        upto = running(F.transform(spans, lambda x: x["end"]), F.greatest)  # the end of all spans before
+        parts = F.zip_with(spans, upto, lambda x, at: F.when(x["start"] >= at, F.concat(piece(at, x["start"] - at), F.lit(mark))).otherwise(F.lit("")))
+        last = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(F.array_join(parts, ""), piece(last, F.char_length(text) - last))
 
-    rest = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    near = joined(lambda start, size: F.substring(text, (start + 1).cast("int"), size.cast("int")))
+    far = let(F.split(text, ""), lambda chars: joined(lambda start, size: F.array_join(F.slice(chars, (start + 1).cast("int"), size.cast("int")), "")))
+    return F.when(F.size(spans) == 0, text).when(F.size(spans) <= CUT_SPANS, near).otherwise(far)
