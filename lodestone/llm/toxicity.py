@@ -43,7 +43,9 @@ RARE = 4e-4
 #: Passes over the training texts, steps that all passes have together at least, texts of a minibatch, first step of the gradient (of embeddings, of the softmax), and seed.
 PASSES, STEPS, BATCH, RATES, SEED = 10, 400, 64, (60_000.0, 0.5), 7
 #: Bytes that a worker's memory of words' values may take.
-WORD_BYTES = 64 << 20
+WORD_BYTES = 48 << 20
+#: Words whose n-grams are hashed together.
+SPELLED = 1 << 13
 _WORD = re.compile(r"\w+")
 _PRIME, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,9 +60,17 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
 
 
 def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word, bucket) of the character n-grams of words with their ends marked, and of the words themselves."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """(word, bucket) of the character n-grams of words with their ends marked, and of the words
+    themselves; stretch by stretch, as what it takes to hash them is many times what comes out."""
+    parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    for at in range(0, len(words), SPELLED):
+        owner, bucket = _spelled(words[at : at + SPELLED])
+        parts.append(((owner + at).astype(np.int32), bucket.astype(np.int32)))
+    owners, buckets = zip(*parts, strict=True)
+    return np.concatenate(owners), np.concatenate(buckets)
+
+
+def _spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.cumsum(sizes)
@@ -90,9 +100,13 @@ class Model:
 
     def words(self, words: list[str]) -> list[float]:
         """What each word adds: the mean of its buckets by its weight."""
-        owner, bucket = spelled(words)
-        means = np.bincount(owner, self.value[bucket], len(words)) / np.maximum(1, np.bincount(owner, minlength=len(words)))
-        return (means * np.fromiter((self.weight.get(w, 1.0) for w in words), np.float64, len(words))).tolist()
+        out: list[float] = []
+        for at in range(0, len(words), SPELLED):
+            part = words[at : at + SPELLED]
+            owner, bucket = _spelled(part)
+            means = np.bincount(owner, self.value[bucket], len(part)) / np.maximum(1, np.bincount(owner, minlength=len(part)))
+            out += (means * np.fromiter((self.weight.get(w, 1.0) for w in part), np.float64, len(part))).tolist()
+        return out
 
     def score(self, values: list[float]) -> float:
         """From the values of all words of a text."""
@@ -122,7 +136,7 @@ class Bags:
         self.weight = {w: RARE / (RARE + n / every) for w, n in total.items()}
         rare = np.fromiter((self.weight[w] for w in index), np.float32, len(index))
         owner, bucket = spelled(list(index))
-        self.spelled = bucket[np.argsort(owner, kind="stable")].astype(np.int32)
+        self.spelled = bucket[np.argsort(owner, kind="stable")]
         sizes = np.bincount(owner, minlength=len(index))
         self.bounds = np.concatenate(([0], np.cumsum(sizes)))
         self.own = np.array(own, np.int32)
