@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import METRICS, squared_l2
@@ -37,8 +37,16 @@ class IVFIndex:
         self.placed = placed.select("id", "vector", F.col("prediction").alias("cell"))
 
     def save(self, path: str) -> None:
-        """The collection partitioned by cell, so that a join on cells prunes files."""
-        self.placed.write.mode("overwrite").partitionBy("cell").parquet(path)
+        """Centroids, and the rows partitioned by cell, so that a join on cells prunes files."""
+        self.placed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> IVFIndex:
+        """What save() put down."""
+        out = cls.__new__(cls)
+        out.centroids, out.placed = spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/rows")
+        return out
 
     def probes_for(self, recall: float = RECALL, k: int = 5, metric: str = "IP", asked: int = ASKED) -> int:
         """Nearest cells to read so that a sample of the collection's own vectors, as queries, finds

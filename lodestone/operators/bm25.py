@@ -10,6 +10,8 @@ from lodestone.operators.ranking import ranked
 
 # Fixed values.
 K1, B, PLACES = 1.5, 0.75, 6
+#: Distinct terms of queries (some 40 bytes each) that are sent to every executor at most.
+SENT_TERMS = 500_000
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -48,6 +50,13 @@ def query_weights(queries: DataFrame, id_col: str, text_col: str, idf: DataFrame
     return found.join(idf.select("term", "idf"), "term").select("qid", "term", w.alias("w"))
 
 
+def asked_only(rows: DataFrame, queries: DataFrame, most_terms: int = SENT_TERMS) -> DataFrame:
+    """Rows (id, term, ...) of terms that some query (qid, term, ...) has."""
+    asked = queries.select("term").distinct()
+    few = asked.limit(most_terms + 1).count() <= most_terms
+    return rows.join(F.broadcast(asked) if few else asked, "term", "left_semi")
+
+
 def sparse_vectors(weights: DataFrame) -> DataFrame:
     """id and its map of term to weight."""
     return weights.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "w")))).alias("sparse_vector"))
@@ -56,10 +65,13 @@ def sparse_vectors(weights: DataFrame) -> DataFrame:
 def sparse_search(queries: DataFrame, documents: DataFrame, k: int = 5, threshold: float | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """qid, id, score, rank: inner products over shared terms; `allowed` ids are kept before the cut, the threshold applies after it.
 
-    Only postings of the queries' terms reach the join; sums are made before the shuffle by (qid, id).
+    Only postings of the queries' terms reach the shuffles: the terms, as many as the queries
+    have, filter where the postings lie if they are few enough to be sent out, and sums are
+    made before the shuffle by (qid, id).
     """
     if allowed is not None:
         documents = documents.join(allowed.select("id").distinct(), "id", "left_semi")
+    documents = asked_only(documents, queries)
     rows = documents.select("id", "term", F.col("w").alias("_dw")).join(queries.select("qid", "term", F.col("w").alias("_qw")), "term")
     scores = rows.groupBy("qid", "id").agg(F.round(F.sum(F.col("_dw") * F.col("_qw")), PLACES).alias("score"))
     return ranked(scores, k, threshold)

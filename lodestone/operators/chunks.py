@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.operators.tables import kept
 from lodestone.operators.splitting import SEPARATORS, greedy_split, recursive_split
 
 
@@ -58,20 +58,20 @@ def exploded_chunks(docs: DataFrame, text: str, settings: ChunkSettings, how: st
 def with_dense_ids(rows: DataFrame, order: list, name: str = "chunk_id") -> DataFrame:
     """Ids 0, 1, 2, ... in the given order, without a one-partition sort.
 
-    Rows are sorted by ranges and kept; each range's count gives where the next one starts,
-    a row a range.
+    Rows are sorted by ranges and stored, as ids must not change if an executor is lost; each
+    range's count gives where the next one starts, a row a range.
     """
-    kept = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = kept(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright("_at", 33)
-    counts = sorted((r["p"], r["n"]) for r in kept.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row a partition
+    counts = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row a partition
     starts, total = [], 0
     for p, n in counts:
         starts += [F.lit(p), F.lit(total)]
         total += n
     if not starts:
-        return kept.withColumn(name, F.lit(None).cast("long")).drop("_at")
+        return placed.withColumn(name, F.lit(None).cast("long")).drop("_at")
     start = F.element_at(F.create_map(*starts), part)
-    return kept.withColumn(name, (start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_at")
+    return placed.withColumn(name, (start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_at")
 
 
 def split_documents(fragments: DataFrame, settings: ChunkSettings = ChunkSettings(), how: str = "recursive", order: list | None = None) -> DataFrame:

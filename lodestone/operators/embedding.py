@@ -7,10 +7,12 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.operators.tables import kept
+
 #: texts -> vectors, in order.
 Embedder = Callable[[list[str]], list[list[float]]]
 BATCH, ATTEMPTS, FIRST_WAIT = 25, 3, 2.0
@@ -80,12 +82,18 @@ def cache_misses(texts: DataFrame, text: str, cache: DataFrame, model: str) -> D
     return keyed.join(cache.filter(F.col("model") == model).select("text_hash"), "text_hash", "left_anti")
 
 
+def clear_cache(spark: SparkSession, path: str) -> None:
+    """Remove a cache table that was stored at path; nothing happens if it isn't there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def embed_cached(rows: DataFrame, text: str, embed: Embedder, dimension: int, cache: DataFrame, model: str, ttl_seconds: int | None = 3600, skip_cache: bool = False) -> tuple[DataFrame, DataFrame]:
     """rows with `vector`, and what the cache gains; entries past their time don't count."""
     if ttl_seconds is not None:
         cache = cache.filter(F.col("ts") >= F.current_timestamp() - F.make_dt_interval(secs=F.lit(ttl_seconds).cast("decimal(18,6)")))
     cache = cache.limit(0) if skip_cache else cache
     fresh = embedded(cache_misses(rows, text, cache, model), text, embed, dimension)
-    gained = fresh.select("text_hash", F.lit(model).alias("model"), "vector", F.current_timestamp().alias("ts")).persist()
+    gained = kept(fresh.select("text_hash", F.lit(model).alias("model"), "vector", F.current_timestamp().alias("ts")), "gained")  # each text is embedded once
     known = cache.filter(F.col("model") == model).select("text_hash", "vector").unionByName(gained.select("text_hash", "vector")).dropDuplicates(["text_hash"])
     return rows.withColumn("text_hash", F.sha2(text, 256)).join(known, "text_hash", "left").drop("text_hash"), gained

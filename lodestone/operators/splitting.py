@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable
+from itertools import accumulate
+
 # Separators from the widest to single characters.
 SEPARATORS = ("\n\n", "\n", "。", "；", "，", " ", "")
 
@@ -9,17 +13,17 @@ SEPARATORS = ("\n\n", "\n", "。", "；", "，", " ", "")
 def merge_pieces(pieces: list[str], size: int, overlap: int) -> list[str]:
     """Join pieces up to `size`, each chunk starting with up to `overlap` characters of the one before."""
     chunks: list[str] = []
-    window: list[str] = []
-    held = 0
-    for piece in pieces:
-        if window and held + len(piece) > size:
-            chunks.append("".join(window))
-            while window and (held > overlap or held + len(piece) > size):
-                held -= len(window.pop(0))
-        window.append(piece)
-        held += len(piece)
-    if window:
-        chunks.append("".join(window))
+    first, held = 0, 0  # the open chunk is pieces[first : i], of `held` characters
+    sizes = list(map(len, pieces))
+    for i, n in enumerate(sizes):
+        if held + n > size and first < i:
+            chunks.append("".join(pieces[first:i]))
+            while first < i and (held > overlap or held + n > size):
+                held -= sizes[first]
+                first += 1
+        held += n
+    if first < len(pieces):
+        chunks.append("".join(pieces[first:]))
     return [x for x in (c.strip() for c in chunks) if x]
 
 
@@ -53,28 +57,41 @@ def windows(text: str, size: int = 500, overlap: int = 50) -> list[str]:
     return [text[i : i + size] for i in range(0, len(text), step)]
 
 
-def greedy_split(text: str, size: int = 500, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """The splitter without overlap between separator-bound chunks.
+def packed(parts: list[str], glue: str, size: int, finer: Callable[[str], list[str]]) -> list[str]:
+    """Runs of parts, as long as fit into `size` with glue between them.
 
-    Parts are packed up to `size`; an oversize part is split by the next separator and its
-    last chunk goes on collecting.  A level that gives one chunk or none hands the whole
-    text down, and the last level cuts windows.
+    The end of a run is looked up among the running lengths of the parts.  A part that is too
+    long by itself becomes what `finer` makes of it, and its last piece begins the next run;
+    empty parts begin none.
     """
-    if not text:
-        return []
-    separator, narrower = separators[0], separators[1:]
-    if not separator:
-        return windows(text, size, overlap)
-    chunks: list[str] = []
-    open_chunk = ""
-    for part in text.split(separator):
-        joined = separator.join((open_chunk, part)) if open_chunk else part
-        if len(joined) <= size:
-            open_chunk = joined
+    upto = [0, *accumulate(len(p) + len(glue) for p in parts)]
+    runs: list[str] = []
+    lead, at = "", 0  # what the next run begins with, and its first part
+    while at < len(parts):
+        if not lead and not parts[at]:
+            at += 1
+            continue
+        room = size + len(glue) - (len(lead) + len(glue) if lead else 0)
+        end = max(at, bisect_right(upto, upto[at] + room) - 1)
+        if end == at and not lead:
+            *whole, lead = finer(parts[at]) or [""]
+            runs += whole
+            at += 1
             continue
-        chunks += [open_chunk] if open_chunk else []
-        finished = greedy_split(part, size, overlap, narrower) if len(part) > size and narrower else [part]
-        chunks += finished[:-1]
-        open_chunk = finished[-1] if finished else ""
-    chunks += [open_chunk] if open_chunk else []
-    return greedy_split(text, size, overlap, narrower) if len(chunks) <= 1 and narrower else chunks
+        runs.append(glue.join([lead, *parts[at:end]] if lead else parts[at:end]))
+        lead, at = "", end
+    return [*runs, lead] if lead else runs
+
+
+def greedy_split(text: str, size: int = 500, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """The splitter without overlap between separator-bound chunks: of the separators from wide
+    to narrow the first that gives two chunks or more, or the last; none at all cuts windows."""
+    chunks: list[str] = []
+    for level, separator in enumerate(separators if text else ()):
+        if not separator:
+            return windows(text, size, overlap)
+        narrower = separators[level + 1 :]
+        chunks = packed(text.split(separator), separator, size, lambda part, rest=narrower: greedy_split(part, size, overlap, rest) if rest else [part])
+        if len(chunks) > 1:
+            break
+    return chunks

@@ -12,6 +12,7 @@ from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.operators.tables import kept
 from lodestone.operators.embedding import Embedder, embedded, hashing_embedder
 from lodestone.plans import rag
 from lodestone.plans.collection import Collection
@@ -23,17 +24,17 @@ class AskError(Exception):
     """A question batch that could not be planned; the cause tells the step."""
 
 
-def ask(collection: Collection, questions: DataFrame, embed: Embedder, generate: rag.Generator = rag.extractive, k: int = 5, threshold: float | None = None, hybrid: bool = False, template: str = rag.TEMPLATES["answer"]) -> DataFrame:
+def ask(collection: Collection, questions: DataFrame, embed: Embedder, generate: rag.Generator = rag.extractive, k: int = 5, threshold: float | None = None, hybrid: bool = False, template: str = rag.TEMPLATES["answer"], system: str | None = rag.SYSTEM) -> DataFrame:
     """questions (qid, question) -> qid, question, answer, sources, context.
 
     Retrieval is dense; with hybrid it is fused with keyword search.
     """
     try:
-        asked = embedded(questions.select("qid", "question"), "question", embed, collection.dimension)
+        asked = kept(embedded(questions.select("qid", "question"), "question", embed, collection.dimension), "questions")  # each is embedded once
         hits = collection.hybrid_search(asked, k, threshold) if hybrid else collection.search(asked.select("qid", "vector"), k, threshold)
     except Exception as e:
         raise AskError(f"retrieval can't be planned: {e}") from e
-    return rag.answers(questions, hits, generate, template)
+    return rag.answers(questions, hits, generate, template, system)
 
 
 def ask_events(collection: Collection, questions: DataFrame, embed: Embedder, **options) -> DataFrame:

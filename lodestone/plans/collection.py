@@ -1,15 +1,18 @@
 """A searchable collection: a folder of Parquet with rows, term table and corpus size.
 
-Postings are worked out once per build and kept with the IDF that gave them their weights.
-An append either reweighs everything from kept term counts, or keeps the old IDF and says so
-in its version.
+An insert adds its rows' term counts to the collection, so texts are cut once.  build_terms
+weighs all kept counts anew and switches to the new tables when they are whole.  One writer
+at a time: two inserts at once would give the same ids.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.ann import IVFIndex
 from lodestone.operators.bm25 import corpus_size, document_weights, idf_table, postings, query_weights, sparse_search, sparse_vectors
 from lodestone.operators.chunks import with_dense_ids
 from lodestone.operators.fusion import rrf
@@ -18,6 +21,10 @@ from lodestone.operators.search import dense_search
 from lodestone.schema import MAX_TEXT_BYTES
 
 
+#: Tasks that the postings of one term are dealt over.
+TERM_PARTS = 64
+
+
 class CollectionExistsError(Exception):
     pass
 
@@ -56,7 +63,7 @@ class Collection:
         return bool(fs.exists(target))
 
     def rows(self) -> DataFrame:
-        return self._table("rows")
+        return self._table("rows").drop("batch")
 
     def insert(self, rows: DataFrame) -> DataFrame:
         """Append rows (text, metadata, vector) and return their new ids with the texts.
@@ -70,26 +77,42 @@ class Collection:
         fits = (F.size("vector") == self.dimension) & (F.octet_length("text") <= MAX_TEXT_BYTES)
         checked = rows.withColumn("text", F.when(fits, F.col("text")).otherwise(F.raise_error(F.lit("a row doesn't fit the collection"))))
         numbered = with_dense_ids(checked, [F.xxhash64("text"), F.to_json("metadata")], "id").withColumn("id", F.col("id") + first)
-        numbered.select("id", "vector", "text", "metadata").write.mode("append").parquet(f"{self.path}/rows")
-        return numbered.select("id", "text")
+        part = f"{self.path}/rows/batch={uuid.uuid4().hex}"
+        numbered.select("id", "vector", "text", "metadata").write.parquet(part)
+        added = self.spark.read.parquet(part)
+        postings(added, "id", "text").write.parquet(f"{self.path}/counts/{part.rsplit('/', 1)[-1]}")
+        return added.select("id", "text")
 
     def build_terms(self) -> None:
-        """(Re)weigh all rows; run after inserts."""
-        rows = self.rows()
-        found = postings(rows, "id", "text").persist()
-        size = corpus_size(rows, found)
-        idf = idf_table(found, size)
-        idf.write.mode("overwrite").parquet(f"{self.path}/terms")
-        weights = document_weights(found, self._table("terms"), size)
-        weights.repartition("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{self.path}/postings")
-        found.unpersist()
+        """(Re)weigh all rows from their kept term counts; run after inserts."""
+        found = self._table("counts")
+        size = corpus_size(self.rows().select("id"), found)
+        version = uuid.uuid4().hex
+        idf_table(found, size).write.parquet(f"{self.path}/weights/{version}/terms")
+        weights = document_weights(found, self.spark.read.parquet(f"{self.path}/weights/{version}/terms"), size)
+        # A term that every text has is dealt over many tasks; within a file terms are sorted, so that a search reads few row groups.
+        dealt = weights.repartition("term", F.pmod(F.xxhash64("id"), F.lit(TERM_PARTS))).sortWithinPartitions("term", "id")
+        dealt.write.parquet(f"{self.path}/weights/{version}/postings")
+        self.spark.range(1).select(F.lit(version).alias("version")).write.mode("overwrite").parquet(f"{self.path}/current")
+
+    def _weights(self, part: str) -> DataFrame:
+        return self._table(f"weights/{self._table('current').first()['version']}/{part}")
+
+    def build_index(self, nlist: int | None = None) -> None:
+        """Deal all rows into the cells of an inverted file; run after inserts."""
+        IVFIndex(self.rows(), nlist).save(f"{self.path}/index")
+
+    def approximate_search(self, queries: DataFrame, k: int = 5, threshold: float | None = None, nprobe: int | None = None) -> DataFrame:
+        """Like search, among the rows of each query's nearest cells."""
+        found = IVFIndex.load(self.spark, f"{self.path}/index").search(queries, k, nprobe, self.metric)
+        return self._hits(found if threshold is None else found.filter(F.col("score") >= threshold))
 
     def count(self) -> int:
         """Rows; -1 if they can't be read."""
         return self.rows().count() if self._has("rows") else (0 if self.exists() else -1)
 
     def sparse_vectors(self) -> DataFrame:
-        return self.rows().select("id").join(sparse_vectors(self._table("postings")), "id", "left").withColumn("sparse_vector", F.coalesce("sparse_vector", F.expr("cast(map() as map<string,double>)")))
+        return self.rows().select("id").join(sparse_vectors(self._weights("postings")), "id", "left").withColumn("sparse_vector", F.coalesce("sparse_vector", F.expr("cast(map() as map<string,double>)")))
 
     def _hits(self, ranks: DataFrame) -> DataFrame:
         return ranks.join(self.rows().select("id", "text", "metadata"), "id")
@@ -99,8 +122,8 @@ class Collection:
         return self._hits(dense_search(queries, self.rows(), k, self.metric, threshold, expr))
 
     def _sparse(self, queries: DataFrame, k: int, threshold: float | None, expr: str | None) -> DataFrame:
-        weights = query_weights(queries, "qid", "question", self._table("terms"))
-        return sparse_search(weights, self._table("postings"), k, threshold, matching(self.rows(), expr).select("id") if expr else None)
+        weights = query_weights(queries, "qid", "question", self._weights("terms"))
+        return sparse_search(weights, self._weights("postings"), k, threshold, matching(self.rows(), expr).select("id") if expr else None)
 
     def keyword_search(self, queries: DataFrame, k: int = 5, threshold: float | None = None, expr: str | None = None) -> DataFrame:
         """queries (qid, question) -> hits; a question without known terms has none."""

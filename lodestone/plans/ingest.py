@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import argparse
 import time
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.config import load_config, section
 from lodestone.operators.chunks import ChunkSettings, chunk_statistics, split_documents
 from lodestone.operators.embedding import Embedder, embedded, hashing_embedder
+from lodestone.operators.tables import kept
 from lodestone.plans.collection import Collection
-from lodestone.sources.chunk_files import read_chunks, write_chunk_array
+from lodestone.sources.chunk_files import read_chunks, write_chunk_array, write_chunks, write_stats
 from lodestone.sources.documents import PageReader, load_directory
 
 
@@ -31,20 +34,22 @@ def chunk_directory(spark: SparkSession, path: str, settings: ChunkSettings = Ch
 def build_collection(chunks: DataFrame, collection: Collection, embed: Embedder | None = None, rebuild: bool = False) -> dict:
     """Embed, insert and weigh chunks; with rebuild the old collection goes first, else rows are appended.
 
-    Without chunks nothing happens.  Returns rows and seconds of each step.
+    Without chunks nothing happens but a warning.  Returns rows and seconds of each step.
     """
     if chunks.isEmpty():
+        warnings.warn("there are no chunks to build from", stacklevel=2)
         return {"rows": 0}
     if rebuild:
         collection.drop()
     if not collection.exists():
         collection.create()
     began = time.perf_counter()
-    rows = embedded(chunks, "text", embed or hashing_embedder(collection.dimension), collection.dimension)
+    rows = kept(embedded(chunks, "text", embed or hashing_embedder(collection.dimension), collection.dimension), "embedded")
+    embedded_at = time.perf_counter()
     collection.insert(rows)
     inserted = time.perf_counter()
     collection.build_terms()
-    return {"rows": collection.count(), "insert_seconds": inserted - began, "terms_seconds": time.perf_counter() - inserted}
+    return {"rows": collection.count(), "embed_seconds": embedded_at - began, "insert_seconds": inserted - embedded_at, "terms_seconds": time.perf_counter() - inserted, "total_seconds": time.perf_counter() - began}
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -56,6 +61,9 @@ def main(argv: list[str] | None = None) -> None:
     chunk.add_argument("--chunk-size", type=int)
     chunk.add_argument("--chunk-overlap", type=int)
     chunk.add_argument("--min-length", type=int)
+    chunk.add_argument("--config", help="settings file, whose section 'chunking' stands behind the flags")
+    chunk.add_argument("--lines", action="store_true", help="a folder of JSON lines, written by the executors, instead of one array")
+    chunk.add_argument("--stats", help="file for the statistics, as JSON")
     build = jobs.add_parser("build")
     build.add_argument("--chunks-file", required=True)
     build.add_argument("--collection", required=True)
@@ -64,11 +72,13 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if args.job == "chunk":
-        settings = ChunkSettings.of(chunk_size=args.chunk_size, chunk_overlap=args.chunk_overlap, min_chunk_length=args.min_length)
+        settings = ChunkSettings.of(section(load_config(args.config), "chunking") if args.config else None, chunk_size=args.chunk_size, chunk_overlap=args.chunk_overlap, min_chunk_length=args.min_length)
         chunks, failed, stats = chunk_directory(spark, args.input_dir, settings)
-        write_chunk_array(chunks, args.output)
+        (write_chunks if args.lines else write_chunk_array)(chunks, args.output)
         for row in failed.toLocalIterator():
             print(f"skipped {row['path']}: {row['error']}")
+        if args.stats:
+            write_stats(stats, args.stats)
         print(stats.first().asDict())
     else:
         print(build_collection(read_chunks(spark, args.chunks_file), Collection(spark, args.collection, args.dim), rebuild=args.rebuild))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from inspect import signature
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ NO_EVIDENCE = "当前知识库中缺少与您问题相关的证据，无法给
 
 #: Templates by name; {context} and {question} are filled once and never read again.
 TEMPLATES = {
-    "answer": "Passages:\n\n{context}\n\nQuestion: {question}\n\nAnswer from the passages alone. If they don't suffice, say which evidence is missing. Give no final diagnosis, and name the documents you used.",
+    "answer": "Context\n{context}\n\nTask\n{question}\n\nReply in a few sentences and quote the labels of the passages behind each one.",
     "refine": "Earlier answer:\n\n{context}\n\nFollow-up: {question}\n\nImprove the answer without adding what it doesn't support.",
     "differential": "Case:\n\n{context}\n\nQuestion: {question}\n\nList what could explain the case, with what speaks for and against each.",
     "guideline": "Guideline passages:\n\n{context}\n\nTopic: {question}\n\nSummarise what the passages recommend.",
@@ -29,11 +30,16 @@ WARNINGS = {
     "diagnosis": "This is no diagnosis; a doctor has to see the patient.",
     "evidence": "The passages found support this only in part.",
 }
-SYSTEM = "You are a careful assistant for medical literature. Support every statement with a passage."
+SYSTEM = "You reply from given passages and cite them."
 MAX_QUESTION, MAX_TOP_K = 2000, 50
 
-#: prompts -> answers, in order.
-Generator = Callable[[list[str]], list[str]]
+#: prompts -> answers, in order.  One with a parameter `system` is given the system prompt by
+#: itself; for any other it stands before the prompt.
+Generator = Callable[..., list[str]]
+
+
+class NoSystemPrompt(Exception):
+    """What a generator raises that turns out to take no system prompt; it gets it before the prompt then."""
 
 
 def valid_questions(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,10 +72,27 @@ def extractive(prompts: list[str]) -> list[str]:
     return [p.partition(mark)[2].partition(CONTEXT_JOINER)[0].rpartition(after)[0].strip() or p.partition(mark)[2].partition(CONTEXT_JOINER)[0].strip() or NO_EVIDENCE for p in prompts]
 
 
-def generated(rows: DataFrame, generate: Generator, column: str = "prompt") -> DataFrame:
+def with_system(generate: Generator, system: str | None) -> Callable[[list[str]], list[str]]:
+    """A generator of prompts alone."""
+    if not system or generate is extractive:
+        return generate
+    apart = "system" in signature(generate).parameters
+
+    def run(prompts: list[str]) -> list[str]:
+        if apart:
+            try:
+                return generate(prompts, system=system)
+            except NoSystemPrompt:
+                pass
+        return generate([f"{system}\n\n{p}" for p in prompts])
+
+    return run
+
+
+def generated(rows: DataFrame, generate: Generator, column: str = "prompt", system: str | None = None) -> DataFrame:
     """rows with `answer`, stripped of white space at the ends."""
 
-    call = with_retries(generate)
+    call = with_retries(with_system(generate, system))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -78,12 +101,12 @@ def generated(rows: DataFrame, generate: Generator, column: str = "prompt") -> D
     return rows.mapInPandas(run, T.StructType([*(f for f in rows.schema.fields if f.name != "answer"), T.StructField("answer", T.StringType())]))
 
 
-def answers(questions: DataFrame, hits: DataFrame, generate: Generator = extractive, template: str = TEMPLATES["answer"]) -> DataFrame:
+def answers(questions: DataFrame, hits: DataFrame, generate: Generator = extractive, template: str = TEMPLATES["answer"], system: str | None = None) -> DataFrame:
     """qid, question, answer, sources, context.  The generator never sees a question without hits:
     those get the fixed answer, no sources and an empty context."""
     asked = questions.select("qid", "question").join(contexts(hits), "qid", "left").join(sources(hits), "qid", "left")
     found = asked.filter(F.col("context").isNotNull()).withColumn("prompt", prompt(F.col("context"), F.col("question"), template))
-    told = generated(found, generate).select("qid", "question", "answer", "sources", "context")
+    told = generated(found, generate, system=system).select("qid", "question", "answer", "sources", "context")
     nothing = asked.filter(F.col("context").isNull()).select("qid", "question", F.lit(NO_EVIDENCE).alias("answer"), F.array().cast(told.schema["sources"].dataType).alias("sources"), F.lit("").alias("context"))
     return told.unionByName(nothing)
 

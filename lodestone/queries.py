@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import preview, shortened, shown_score, source_label, tokens
 from lodestone.functions.vectors import has_dimension, l2_norm, normalized
 from lodestone.operators.ann import IVFIndex
-from lodestone.operators.bm25 import corpus_size, document_weights, idf_table, postings, query_weights, sparse_search
+from lodestone.operators.bm25 import asked_only, corpus_size, document_weights, idf_table, postings, query_weights, sparse_search
 from lodestone.operators.chunks import ChunkSettings, chunk_statistics, exploded_chunks, with_dense_ids
 from lodestone.operators.embedding import cache_misses, embedded, hashing_embedder
 from lodestone.operators.fusion import rrf
 from lodestone.operators.predicates import matching
 from lodestone.operators.search import dense_search
+from lodestone.operators.tables import kept, shared_folder
 from lodestone.plans import rag
 from lodestone.plans.collection import Collection
 
@@ -32,9 +34,15 @@ def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id").join(vectors, "id")
 
 
-def vector_queries(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    """The stated query set of the dense searches."""
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set of the dense searches: every row whose id is divisible by 100."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a question, with the vector of its id."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return vectors.join(text_queries(spark, sf_dir).select("qid").distinct(), "qid", "left_semi")
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,14 +51,14 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = postings(docs, "doc_id", "text")
+    found = kept(postings(docs, "doc_id", "text"), "postings")
     size = corpus_size(docs, found)
     return found, size, idf_table(found, size)
 
 
-def _dense(metric: str, threshold: float | None = None, expr: str | None = None, places: int | None = 6):
+def _dense(metric: str, threshold: float | None = None, expr: str | None = None, places: int | None = 6, queries: Callable = vector_queries):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = dense_search(vector_queries(spark, sf_dir), collection(spark, sf_dir), K, metric, threshold, expr)
+        rows = dense_search(queries(spark, sf_dir), collection(spark, sf_dir), K, metric, threshold, expr)
         return rows.select("qid", "id", F.round("score", places).alias("score") if places else "score", "rank")
 
     return run
@@ -97,7 +105,8 @@ def bm25_query_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sparse(spark: SparkSession, sf_dir: str, expr: str | None = None, threshold: float | None = None) -> DataFrame:
     found, size, idf = _terms(spark, sf_dir)
-    asked = query_weights(text_queries(spark, sf_dir), "qid", "question", idf)
+    asked = kept(query_weights(text_queries(spark, sf_dir), "qid", "question", idf), "asked")
+    found = asked_only(found, asked)
     allowed = matching(table(spark, sf_dir, "documents"), expr).select(F.col("doc_id").alias("id")) if expr else None
     return sparse_search(asked, document_weights(found, idf, size), K, threshold, allowed)
 
@@ -111,7 +120,7 @@ def bm25_search_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return _dense("IP")(spark, sf_dir), _sparse(spark, sf_dir).filter(F.col("qid") < 20)
+    return _dense("IP", queries=question_vectors)(spark, sf_dir), _sparse(spark, sf_dir)
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,11 +162,7 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.struct("source", "lang").alias("metadata"))
-    return _dense("IP", 0.2)(spark, sf_dir).join(texts, "id")
-
-
-def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_queries(spark, sf_dir).filter(F.col("qid") < 20)
+    return _dense("IP", 0.2, queries=question_vectors)(spark, sf_dir).join(texts, "id")
 
 
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +170,7 @@ def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rag_context(spark, sf_dir).join(_questions(spark, sf_dir), "qid")
+    rows = rag_context(spark, sf_dir).join(text_queries(spark, sf_dir), "qid")
     return rows.select("qid", rag.prompt(F.col("context"), F.col("question"), "{context}\n---\n{question}").alias("prompt"))
 
 
@@ -176,11 +181,11 @@ def rag_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rag_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = _hits(spark, sf_dir).filter("score > 2")
-    return rag.answers(_questions(spark, sf_dir), none).select("qid", "answer", F.size("sources").cast("long").alias("n_sources"), "context")
+    return rag.answers(text_queries(spark, sf_dir), none).select("qid", "answer", F.size("sources").cast("long").alias("n_sources"), "context")
 
 
 def rag_answer_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rag.answers(_questions(spark, sf_dir), _hits(spark, sf_dir))
+    rows = rag.answers(text_queries(spark, sf_dir), _hits(spark, sf_dir))
     return rows.select("qid", "answer", F.size("sources").cast("long").alias("n_sources"))
 
 
@@ -200,16 +205,14 @@ def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collection_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows inserted into a new collection and read back with their weights."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    kept = Collection(spark, f"{base}/collection-{uuid.uuid4().hex}", 64)
-    kept.create()
+    """Rows inserted into a new collection and read back with their weights; texts beyond the
+    store's limit in bytes are what insert() refuses, so they aren't offered to it."""
+    made = Collection(spark, f"{shared_folder(spark)}/collection-{uuid.uuid4().hex}", 64)
+    made.create()
     rows = collection(spark, sf_dir).filter(F.octet_length("text") <= 65535)
-    kept.insert(rows.select("text", F.struct("source", "lang", F.col("id").alias("doc_id")).alias("metadata"), "vector"))
-    kept.build_terms()
-    return kept.rows().join(kept.sparse_vectors(), "id").select(F.col("metadata.doc_id").alias("doc_id"), F.char_length("text").cast("long").alias("n_chars"), F.size("sparse_vector").cast("long").alias("n_terms"))
+    made.insert(rows.select("text", F.struct("source", "lang", F.col("id").alias("doc_id")).alias("metadata"), "vector"))
+    made.build_terms()
+    return made.rows().join(made.sparse_vectors(), "id").select(F.col("metadata.doc_id").alias("doc_id"), F.char_length("text").cast("long").alias("n_chars"), F.size("sparse_vector").cast("long").alias("n_terms"))
 
 
 def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +230,7 @@ def embed_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embedded(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", hashing_embedder(64), 64)
-    return rows.select("doc_id", F.size("vector").alias("dimension"), F.round(l2_norm(F.col("vector")), 4).alias("norm"))
+    return rows.select("doc_id", F.size("vector").alias("dimension"), F.round(l2_norm(F.col("vector")), 4).alias("norm"), F.round(F.get("vector", F.lit(0)).cast("double"), 4).alias("first"))
 
 
 def question_validation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,13 @@ def write_chunk_array(chunks: DataFrame, path: str) -> None:
         out.write("\n]" if out.tell() > 1 else "]")
 
 
+def write_stats(stats: DataFrame, path: str) -> None:
+    """The one row of chunk statistics as an indented JSON object in a local file."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(json.dumps(stats.first().asDict(), ensure_ascii=False, indent=2), encoding="utf-8")
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Either form.  FileNotFoundError if there is nothing, ValueError if a lone file is not an array."""
     local = Path(path)
