@@ -34,8 +34,8 @@ GRAMS, SIZE, BUCKETS = (3, 4, 5, 6), 8, 1 << 20
 TRUST = 10.0
 #: Words without a say that every text counts besides its own, so that a word or two decide nothing.
 CALM = 40
-#: One of so many texts of the sample is not fitted, but sets the point of even chances.
-HELD_BACK = 8
+#: Parts of the sample: a model is trained without each, which sets the point of even chances.
+FOLDS = 3
 #: Clean texts that may be flagged to find one toxic text more.
 MISSED = 2
 #: Share of all words at which a word weighs half.
@@ -70,6 +70,11 @@ def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(buckets)
 
 
+def buckets_of(word: str) -> np.ndarray:
+    """Buckets of one word."""
+    return spelled([word])[1]
+
+
 def _spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -108,6 +113,9 @@ class Model:
             out += (means * np.fromiter((self.weight.get(w, 1.0) for w in part), np.float64, len(part))).tolist()
         return out
 
+    def word(self, word: str) -> float:
+        return self.words([word])[0]
+
     def score(self, values: list[float]) -> float:
         """From the values of all words of a text."""
         margin = math.fsum(values) / (len(values) + CALM) + self.bias
@@ -119,7 +127,7 @@ def constant(bias: float) -> Model:
 
 
 class Bags:
-    """Texts as weighted bags of buckets, kept by word: a text's words, and each word's buckets."""
+    """Texts as weighted bags of buckets, kept by word: a text's words, and each word's buckets, numbered by themselves."""
 
     def __init__(self, texts: list[str]):
         index: dict[str, int] = {}
@@ -136,96 +144,124 @@ class Bags:
         self.weight = {w: RARE / (RARE + n / every) for w, n in total.items()}
         rare = np.fromiter((self.weight[w] for w in index), np.float32, len(index))
         owner, bucket = spelled(list(index))
-        self.spelled = bucket[np.argsort(owner, kind="stable")]
-        sizes = np.bincount(owner, minlength=len(index))
-        self.bounds = np.concatenate(([0], np.cumsum(sizes)))
+        self.buckets, number = np.unique(bucket, return_inverse=True)
+        self.spelled = number[np.argsort(owner, kind="stable")].astype(np.int32)
+        self.sizes = np.bincount(owner, minlength=len(index))
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.own = np.array(own, np.int32)
-        self.times = np.array(times, np.float32) * (rare / np.maximum(1, sizes))[self.own].astype(np.float32)
+        self.times = np.array(times, np.float32) * (rare / np.maximum(1, self.sizes))[self.own].astype(np.float32)
         self.ends = np.array(ends, np.int64)
 
-    def entries(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place of the text, bucket and weight of every entry of some texts, in their order."""
+    def words(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the text, place of the word and weight of every word of some texts; the words in question."""
         rows = np.concatenate([np.zeros(0, np.int64), *[np.arange(self.ends[t], self.ends[t + 1]) for t in texts]])
-        place = np.repeat(np.arange(len(texts)), (self.ends[texts + 1] - self.ends[texts]))
-        words = self.own[rows]
-        sizes = self.bounds[words + 1] - self.bounds[words]
-        last = np.cumsum(sizes)
-        at = np.arange(last[-1] if len(last) else 0) + np.repeat(self.bounds[words] - (last - sizes), sizes)
-        return np.repeat(place, sizes), self.spelled[at], np.repeat(self.times[rows], sizes)
+        words, at = np.unique(self.own[rows], return_inverse=True)
+        return np.repeat(np.arange(len(texts)), self.ends[texts + 1] - self.ends[texts]), at, self.times[rows], words
 
+    def entries(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of some words, word by word, and where each word's begin."""
+        sizes = self.sizes[words]
+        first = np.cumsum(sizes) - sizes
+        return self.spelled[np.arange(sizes.sum()) + np.repeat(self.starts[words] - first, sizes)], first
 
-def fit(texts: list[str], labels: list[int], passes: int = PASSES) -> Model:
-    """Minibatch descent on the class-balanced cross-entropy of the softmax, jointly with the embeddings.
+    def margins(self, texts: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Sums over some texts of what their buckets add."""
+        place, at, times, words = self.words(texts)
+        bucket, first = self.entries(words)
+        sums = np.add.reduceat(value[bucket], first) if len(first) else np.zeros(0)
+        return np.bincount(place, sums[at] * times, len(texts))
+
+
+def descend(bags: Bags, rows: np.ndarray, label: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray, float]:
+    """What each bucket adds and the bias, by minibatch descent on the class-balanced cross-entropy
+    of the softmax over some of the texts, jointly with the embeddings.
 
     The step shrinks to nothing over the passes.  The gradient of an n-gram's vector is its
     weight in each text times the text's error times what the softmax makes of a vector, so
     one number a bucket and one vector a batch are all that a step has to work out.
     """
-    if not texts or len(set(labels)) < 2:
-        return constant(5.0 if labels and all(labels) else -5.0)
-    label, bags = np.array(labels, np.int64), Bags(texts)
     rng = np.random.default_rng(SEED)
-    grams = rng.normal(0, 1 / SIZE, (BUCKETS, SIZE)).astype(np.float32)
+    grams = rng.normal(0, 1 / SIZE, (len(bags.buckets), SIZE)).astype(np.float32)
     softmax = rng.normal(0, 1 / SIZE, (SIZE, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    held = np.zeros(BUCKETS)
-    for t in range(len(label)):
-        held[np.unique(bags.entries(np.array([t]))[1])] += 1
+    held = np.zeros(len(bags.buckets))
+    for t in rows:
+        held[np.unique(bags.entries(bags.words(np.array([t]))[3])[0])] += 1
     trust = held / (held + TRUST)
-    balance = np.where(label == 1, 0.5 / (label == 1).mean(), 0.5 / (label == 0).mean())
-    order = rng.permutation(len(label))
-    batches = np.array_split(order, -(-len(order) // BATCH))
+    toxic = (label[rows] == 1).mean()
+    balance = np.where(label == 1, 0.5 / toxic, 0.5 / (1 - toxic))
+    batches = np.array_split(rng.permutation(rows), -(-len(rows) // BATCH))
     passes = passes and max(passes, -(-STEPS // len(batches)))
     steps, step = passes * len(batches), 0
     for _ in range(passes):
         for k in rng.permutation(len(batches)):
             batch, left = batches[k], 1 - step / steps
             step += 1
-            place, bucket, weight = bags.entries(batch)
+            place, at, times, words = bags.words(batch)
+            if not len(words):
+                continue
+            bucket, first = bags.entries(words)
+            vectors = np.add.reduceat(grams.take(bucket, axis=0), first, axis=0)
+            here, begin = np.unique(place, return_index=True)
             means = np.zeros((len(batch), SIZE), np.float32)
-            vectors = grams[bucket]
-            vectors *= weight[:, None]
-            here, first = np.unique(place, return_index=True)
-            if len(here):
-                means[here] = np.add.reduceat(vectors, first, axis=0)
+            means[here] = np.add.reduceat(vectors.take(at, axis=0) * times[:, None], begin, axis=0)
             logits = means @ softmax + bias
             chance = 1 / (1 + np.exp(-np.clip(logits[:, 1] - logits[:, 0], -60, 60)))
             error = (chance - label[batch]) * balance[batch] / len(batch)
             both = np.stack([-error, error], axis=1)
             pull = softmax[:, 1] - softmax[:, 0]
-            amount = np.bincount(bucket, weight * error[place], BUCKETS)
+            by_word = np.bincount(at, times * error[place], len(words))
+            amount = np.bincount(bucket, np.repeat(by_word, bags.sizes[words]), len(bags.buckets))
             moved = np.flatnonzero(amount)
-            grams[moved] -= (RATES[0] * left * (amount * trust)[moved])[:, None].astype(np.float32) * pull
+            change = (RATES[0] * left * amount[moved] * trust[moved]).astype(np.float32)
+            grams[moved] = grams.take(moved, axis=0) - change[:, None] * pull
             softmax -= (RATES[1] * left * (means.T @ both)).astype(np.float32)
             bias -= (RATES[1] * left * both.sum(axis=0)).astype(np.float32)
-    return Model(grams @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]), {w: x for w, x in bags.weight.items() if x < 0.95})
+    value = grams @ (softmax[:, 1] - softmax[:, 0])
+    value[held == 0] = 0  # what no fitted text held was not trained
+    return value, float(bias[1] - bias[0])
+
+
+def _model(bags: Bags, value: np.ndarray, bias: float) -> Model:
+    every = np.zeros(BUCKETS, np.float32)
+    every[bags.buckets] = value
+    return Model(every, bias, {w: x for w, x in bags.weight.items() if x < 0.95})
+
+
+def fit(texts: list[str], labels: list[int], passes: int = PASSES) -> Model:
+    """Trained on all of the texts; no passes: the random start."""
+    if not texts or len(set(labels)) < 2:
+        return constant(5.0 if labels and all(labels) else -5.0)
+    bags = Bags(texts)
+    return _model(bags, *descend(bags, np.arange(len(texts)), np.array(labels, np.int64), passes))
 
 
-def cut_margin(margins: np.ndarray, label: np.ndarray) -> float:
-    """The margin that errs least on these texts, a missed toxic one counted as MISSED clean ones, the middle one of several such, halfway between its neighbours."""
+def cut_margin(margins: np.ndarray, label: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)) -> float:
+    """The margin that errs least on these texts, each of which stands for so many of its class and a
+    missed toxic one for MISSED clean ones; the middle one of several such, halfway between its neighbours."""
     order = np.argsort(margins, kind="stable")
     margins, label = margins[order], label[order]
-    errors = MISSED * np.concatenate(([0], np.cumsum(label))) + np.concatenate(([0], np.cumsum(label[::-1] == 0)))[::-1]
-    best = np.flatnonzero(errors == errors.min())
+    missed = MISSED * stands_for[1] * np.concatenate(([0], np.cumsum(label)))
+    flagged = stands_for[0] * np.concatenate(([0], np.cumsum(label[::-1] == 0)))[::-1]
+    errors = missed + flagged
+    best = np.flatnonzero(errors <= errors.min() * (1 + 1e-9))
     k = int(best[len(best) // 2])
     return float(margins[0] - 1 if k == 0 else margins[-1] + 1 if k == len(margins) else (margins[k - 1] + margins[k]) / 2)
 
 
-def train(texts: list[str], labels: list[int]) -> Model:
-    """Fit on all texts but one of every HELD_BACK, and set the point of even chances on those, which fitting hasn't seen."""
-    held = set(range(0, len(texts), HELD_BACK))
-    fitted = [i for i in range(len(texts)) if i not in held]
-    if len({labels[i] for i in held}) < 2 or len({labels[i] for i in fitted}) < 2:
+def train(texts: list[str], labels: list[int], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """The mean of models that are each trained without one of FOLDS parts of the texts; the point of even
+    chances is set on all texts, each with the margin of the model that hasn't seen it."""
+    label, part = np.array(labels, np.int64), np.arange(len(texts)) % FOLDS
+    if any(len(set(label[side])) < 2 for k in range(FOLDS) for side in (part != k, part == k)):
         return fit(texts, labels)
-    model = fit([texts[i] for i in fitted], [labels[i] for i in fitted])
-    margins = []
-    for i in sorted(held):
-        words = words_of(texts[i])
-        distinct = list(dict.fromkeys(words))
-        value = dict(zip(distinct, model.words(distinct), strict=True))
-        margins.append(sum(value[w] for w in words) / (len(words) + CALM))
-    model.bias = -cut_margin(np.array(margins), np.array([labels[i] for i in sorted(held)]))
-    return model
+    bags = Bags(texts)
+    values, margins = np.zeros(len(bags.buckets), np.float32), np.zeros(len(texts))
+    for k in range(FOLDS):
+        value, _ = descend(bags, np.flatnonzero(part != k), label)
+        values += value / FOLDS
+        margins[part == k] = bags.margins(np.flatnonzero(part == k), value)
+    return _model(bags, values, -cut_margin(margins, label, stands_for))
 
 
 def folded(folds: int) -> Column:
@@ -233,9 +269,10 @@ def folded(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC), most_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC), most_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[int], tuple[float, float]]:
     """Texts and labels of the labelled rows that may be learnt from: of each class those of
-    least hash, whole texts, up to its bounds in rows and bytes."""
+    least hash, whole texts, up to its bounds in rows and bytes; and how many labelled rows
+    one of the chosen clean and toxic ones stands for."""
     known = labels.filter(F.col("toxic").isin(0, 1) & (folded(5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for y, n in enumerate(most):
@@ -245,7 +282,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (T
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_upto", F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(order)).filter(F.col("_upto") <= most_bytes)
     found = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic").toArrow()  # sum(most) rows of 2 * most_bytes at most
-    return [x or "" for x in found.column(0).to_pylist()], found.column(1).to_pylist()
+    label = found.column(1).to_pylist()
+    there = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
+    clean, toxic = (max(1.0, there.get(y, 0) / max(1, label.count(y))) for y in (0, 1))
+    return [x or "" for x in found.column(0).to_pylist()], label, (clean, toxic)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
