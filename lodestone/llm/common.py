@@ -3,11 +3,14 @@ attaching a small side, and ranks that no hot key can pile up in one task."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +70,30 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def give_back() -> None:
+    """Memory that is free again goes back to the machine: Spark keeps idle workers, and they what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's own, where it has one
+    if trim:
+        trim(0)
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function for mapInArrow, so that its worker gives back memory after each batch and at the end."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(each(batches))
+        give_back()
+
+    return whole
+
+
 def text_key() -> list[Column]:
     """Two 64-bit hashes of the text: a key of equal texts that needs no unique or non-null id."""
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ready
+from lodestone.llm.common import ready, thrifty
 from lodestone.llm.pretokens import ManyMemo
 
 #: Labelled texts of each class that the driver trains on at most, those whose hash is least, and bytes of text of each class.
@@ -305,7 +305,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 scores += [model.score(list(map(value.__getitem__, x))) for x in cut]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*own, "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(thrifty(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
