@@ -91,7 +91,7 @@ ORACLE_SQL: dict[str, str] = {
     "rag_answer_template": f"WITH {_HITS} SELECT item_id AS qid, coalesce(trim(h.text, ' ' || chr(9) || chr(10) || chr(13)), '{NO_EVIDENCE}') AS answer, coalesce(k, 0) AS n_sources FROM benchmark LEFT JOIN ctx ON ctx.qid = item_id LEFT JOIN hits h ON h.qid = item_id AND h.rank = 1",
     "hit_display": f"WITH {_HITS} SELECT qid, rank, CASE WHEN length(text) > 120 THEN replace(substring(text, 1, 120), chr(10), ' ') || '...' ELSE replace(text, chr(10), ' ') END AS preview, CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || '...' ELSE text END AS short, printf('%.4f', score) AS shown, source AS label FROM hits",
     "collection_stats": "SELECT count(*) AS num_entities FROM documents JOIN embeddings ON doc_id = vec_id",
-    "collection_roundtrip": f"WITH {_TERMS} SELECT doc_id, length(text) AS n_chars, len(list_distinct(t))::bigint AS n_terms FROM documents JOIN toks ON toks.id = doc_id JOIN embeddings ON vec_id = doc_id WHERE strlen(text) <= 65535",
+    "collection_roundtrip": f"WITH {_TERMS} SELECT doc_id, length(text) AS n_chars, CASE WHEN strlen(text) <= 65535 THEN len(list_distinct(t))::bigint END AS n_terms FROM documents JOIN toks ON toks.id = doc_id JOIN embeddings ON vec_id = doc_id",
     "embed_cache_misses": _FRESH,
     "question_validation": "SELECT conv_id, turn, length(trim(text)) AS n_chars FROM conversations WHERE role = 'user' AND length(trim(text)) BETWEEN 1 AND 2000 AND turn * 7 BETWEEN 1 AND 50",
 }

@@ -19,7 +19,7 @@ from lodestone.operators.predicates import matching
 from lodestone.operators.search import dense_search
 from lodestone.operators.tables import kept, shared_folder
 from lodestone.plans import rag
-from lodestone.plans.collection import Collection
+from lodestone.plans.collection import MAX_TEXT_BYTES, Collection
 
 K = 5
 SETTINGS = ChunkSettings()
@@ -206,13 +206,16 @@ def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collection_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows inserted into a new collection and read back with their weights; texts beyond the
-    store's limit in bytes are what insert() refuses, so they aren't offered to it."""
+    store's limit in bytes are what insert() refuses, and come back without a count of terms."""
     made = Collection(spark, f"{shared_folder(spark)}/collection-{uuid.uuid4().hex}", 64)
     made.create()
-    rows = collection(spark, sf_dir).filter(F.octet_length("text") <= 65535)
+    fits = F.octet_length("text") <= MAX_TEXT_BYTES
+    offered = collection(spark, sf_dir)
+    rows, refused = offered.filter(fits), offered.filter(~F.coalesce(fits, F.lit(False)))
     made.insert(rows.select("text", F.struct("source", "lang", F.col("id").alias("doc_id")).alias("metadata"), "vector"))
     made.build_terms()
-    return made.rows().join(made.sparse_vectors(), "id").select(F.col("metadata.doc_id").alias("doc_id"), F.char_length("text").cast("long").alias("n_chars"), F.size("sparse_vector").cast("long").alias("n_terms"))
+    weighed = made.rows().join(made.sparse_vectors(), "id").select(F.col("metadata.doc_id").alias("doc_id"), F.char_length("text").cast("long").alias("n_chars"), F.size("sparse_vector").cast("long").alias("n_terms"))
+    return weighed.unionByName(refused.select(F.col("id").alias("doc_id"), F.char_length("text").cast("long").alias("n_chars"), F.lit(None).cast("long").alias("n_terms")))
 
 
 def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
