@@ -1,8 +1,8 @@
 """DuckDB SQL for the corpus queries that SQL can express at test size, written apart from them.
 
 Not here, as SQL lacks the means: unigram counts (op1), BPE ids (op3, op4), XXH64 and
-components (op5), trained models (op7, op9) and label propagation (op10); tests hold those
-against plain versions.
+components (op5), trained models (op7, op9), label propagation (op10), runs of words (op11) and
+two tokenizers (op13); tests hold those against plain versions.
 """
 
 from __future__ import annotations
@@ -51,4 +51,12 @@ _SEARCH = """WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: floor
   s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint AS score FROM c q JOIN c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
   SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::int AS rank FROM s) WHERE rank <= 10"""
 
-ORACLE_SQL: dict[str, str] = {"op2_secret_scan": _SECRETS, "op6_decontaminate": _CONTAMINATION, "op8_topk": _SEARCH}
+# Marks take 16 characters a turn besides the role; backslash and angle brackets take one more each.
+_ESCAPED = "length({0}) + length({0}) - length(translate({0}, '\\<>', ''))"
+_CHATS = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum({_ESCAPED.format("role")} + {_ESCAPED.format("text")} + 16)::bigint AS formatted_chars FROM t GROUP BY conv_id"""
+
+ORACLE_SQL: dict[str, str] = {"op12_chat_format": _CHATS, "op2_secret_scan": _SECRETS, "op6_decontaminate": _CONTAMINATION, "op8_topk": _SEARCH}
