@@ -38,7 +38,7 @@ from lodestone.llm.common import ready, stored, thrifty
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text and documents of a block at most (a longer text is a block of its own), and occurrences of pairs that are dealt with at a time.
-BLOCK_CHARS, BLOCK_DOCS, ENTRIES = 16 << 20, 60_000, 3_000_000
+BLOCK_CHARS, BLOCK_DOCS, ENTRIES = 5 << 20, 60_000, 2_000_000
 #: Characters that one call gets, and from which a unit goes to the library whose work doesn't grow with its square.
 CALL_CHARS, LONG_UNIT = 1 << 12, 500
 #: Rows of an Arrow batch of postings.
