@@ -8,8 +8,8 @@ Texts are taken in blocks of bounded size.  A block keeps, for each pair of ids,
 hold it and how often: a posting.  Postings are summed to counts by pair before they are shuffled, and
 counts to the highest by id of the first tokenizer.  Then postings and counts are cogrouped by the
 pair's ids in a sort-merge join, whose sorted streams spill; each task turns its postings into
-contributions to documents, adds up what it holds of each document, and the rest is summed by
-document.  Rows of a pair are at most as many as blocks, so no id is hot.
+contributions to documents and adds up what it holds of each document, and all are summed by
+document, a block at a time.  Rows of a pair are at most as many as blocks, so no id is hot.
 
 Both tokenizers part at a single space between two characters that aren't white space: the first's
 pattern starts a new match there, and no piece of the second holds a space after another character.
@@ -316,16 +316,23 @@ def _stretch(name: str, values: pa.Array, schema: pa.Schema, **others: pa.Array)
 
 
 def contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, best and total: what cogrouped postings (base, data, count, best) add to documents, added up as far as memory goes."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """base and given: what cogrouped postings (base, data, count, best) add to documents of a block, added up as far as memory goes.
+
+    given holds, for n documents of the block, their numbers in it (two bytes each), links of the
+    highest count, and sums of counts (eight bytes each).
+    """
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
     def summed() -> pa.RecordBatch:
-        rows, best, total = (np.concatenate(x) for x in zip(*held, strict=True))
-        by = np.argsort(rows, kind="stable")
-        rows, best, total = rows[by], best[by], total[by]
-        first = np.flatnonzero(np.r_[True, np.diff(rows) != 0])
-        return pa.RecordBatch.from_arrays([pa.array(rows[first]), pa.array(np.add.reduceat(best, first)), pa.array(np.add.reduceat(total, first))], ["row", "best", "total"])
+        bases, docs, best, total = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.argsort(bases + docs, kind="stable")  # blocks don't overlap
+        bases, docs, best, total = bases[by], docs[by], best[by], total[by]
+        first = np.flatnonzero(np.r_[True, np.diff(bases + docs) != 0])
+        bases, docs, best, total = bases[first], docs[first].astype("<u2"), np.add.reduceat(best, first), np.add.reduceat(total, first)
+        cut = [*np.flatnonzero(np.r_[True, np.diff(bases) != 0]).tolist(), len(bases)]
+        given = [docs[x:y].tobytes() + best[x:y].tobytes() + total[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(bases[cut[:-1]]), pa.array(given, pa.binary())], ["base", "given"])
 
     for batch in batches:
         if not len(batch):
@@ -334,7 +341,7 @@ def contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         buffers = data.buffers()
         offsets = np.frombuffer(buffers[1], np.int32)[data.offset : data.offset + len(data) + 1]
         row, doc, times = unpacked_postings(offsets.astype(np.int64), np.frombuffer(buffers[2], np.uint8))
-        held.append((base.to_numpy()[row] + doc, times * best.to_numpy(zero_copy_only=False)[row], times * count.to_numpy()[row]))
+        held.append((base.to_numpy()[row], doc, times * best.to_numpy(zero_copy_only=False)[row], times * count.to_numpy()[row]))
         size += len(row)
         if size > ENTRIES:
             yield summed()
@@ -343,6 +350,29 @@ def contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield summed()
 
 
+def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, n_best and count_sum of the documents of each block, from its contributions, which come one after another."""
+    now, sums = None, np.zeros((2, BLOCK_DOCS), np.int64)
+
+    def whole() -> pa.RecordBatch:
+        docs = np.flatnonzero(sums[1])  # every link has a count
+        out = pa.RecordBatch.from_arrays([pa.array(now + docs), pa.array(sums[0, docs]), pa.array(sums[1, docs])], ["row", "n_best", "count_sum"])
+        sums[:] = 0
+        return out
+
+    for batch in batches:
+        for base, given in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if base != now:
+                if now is not None:
+                    yield whole()
+                now = base
+            n = len(given) // 18
+            docs = np.frombuffer(given, "<u2", n)
+            sums[:, docs] += np.frombuffer(given[2 * n :], "<i8").reshape(2, n)
+    if now is not None:
+        yield whole()
+
+
 def aligned(docs: DataFrame, first: str | None = None, second: str | None = None, with_groups: bool = False) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each whole text.
 
@@ -387,9 +417,9 @@ def aligned(docs: DataFrame, first: str | None = None, second: str | None = None
     counts = postings.groupBy("a", "b").agg(F.sum("n").alias("count"))
     highest = counts.groupBy("a").agg(F.max("count").alias("_most"))
     counts, _ = stored(counts.join(highest, "a").select("a", "b", "count", (F.col("count") == F.col("_most")).alias("best")), "pair-counts")
-    met = postings.select("a", "b", "base", "data").join(counts, ["a", "b"]).select("base", "data", "count", "best")
-    given = met.mapInArrow(thrifty(contributions), "row long, best long, total long")
-    summed = given.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("total").alias("count_sum"))
+    met = postings.select("a", "b", "base", "data").join(counts.hint("merge"), ["a", "b"]).select("base", "data", "count", "best")
+    given = met.mapInArrow(thrifty(contributions), "base long, given binary").repartition("base").sortWithinPartitions("base")
+    summed = given.mapInArrow(added_up, "row long, n_best long, count_sum long")
     rows = made.filter(F.col("a").isNull()).join(summed, "row", "left")
     zero = [F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("n_best", "count_sum")]
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *zero, "groups_sha256", *["groups"] * with_groups)
