@@ -23,7 +23,7 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import ready, stored, thrifty
+from lodestone.llm.common import give_back, ready, stored, thrifty
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text and documents of a block at most (a longer text is a block of its own), and occurrences of pairs that are dealt with at a time.
-BLOCK_CHARS, BLOCK_DOCS, ENTRIES = 5 << 20, 60_000, 2_000_000
+BLOCK_CHARS, BLOCK_DOCS, ENTRIES = 2 << 20, 60_000, 2_000_000
 #: Characters that one call gets, and from which a unit goes to the library whose work doesn't grow with its square.
 CALL_CHARS, LONG_UNIT = 1 << 12, 500
 #: Rows of an Arrow batch of postings.
@@ -70,8 +70,7 @@ class TokenBytes:
         letters, special = _byte_letters(), {x["content"] for x in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in x): i for x, i in spec["model"]["vocab"].items() if x not in special}
         self.first = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.first_of_long = Tokenizer.from_file(first)
-        self.first_of_long.encode_special_tokens = True  # their strings in texts are plain text
+        self.file = first
         self.second = p = SentencePieceProcessor(model_file=second)
         size = max(ranks.values()) + 1
         self.first_bytes: list[bytes] = [b""] * size
@@ -86,6 +85,12 @@ class TokenBytes:
         ids = [(range(size), ","), (range(size), "|"), (range(len(self.second_bytes)), ","), (range(len(self.second_bytes)), ";")]
         self.names = np.array([f"{i}{end}" for own, end in ids for i in own], object)
 
+    @cached_property
+    def first_of_long(self) -> Tokenizer:
+        out = Tokenizer.from_file(self.file)
+        out.encode_special_tokens = True  # their strings in texts are plain text
+        return out
+
     def cut(self, text: str, long: bool = False) -> tuple[list[int], list[int]] | None:
         """Ids of both for a text that starts with a space; None if the bytes of either differ from it."""
         a = self.first_of_long.encode(text, add_special_tokens=False).ids if long else self.first.encode_ordinary(text)
@@ -410,6 +415,8 @@ def aligned(docs: DataFrame, first: str | None = None, second: str | None = None
                     own = offsets[low : high + 1]
                     blobs = pa.BinaryArray.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((own - own[0]).astype(np.int32).tobytes()), pa.py_buffer(data[own[0] : own[-1]].tobytes())])
                     yield _stretch("data", blobs, schema, a=pa.array(pairs[low:high] >> 32), b=pa.array(pairs[low:high] & 0xFFFFFFFF), base=pa.array(np.full(high - low, base)), n=pa.array(n[low:high]))
+            del block, groups, digests, texts  # before the next block's are made
+            give_back()
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     made, _ = stored(numbered.mapInArrow(thrifty(cut), shape), "alignment")
