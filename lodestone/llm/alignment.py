@@ -153,6 +153,7 @@ def units_of(texts: list[str | None]) -> tuple[list[str], list[list[int]]]:
     odd = {i for x, i in number.items() if not x or x[0].isspace() or x[-1].isspace()}
     for i in [i for i, x in enumerate(held) if odd and not odd.isdisjoint(x)]:
         held[i] = list(map(of, _CUT.split(texts[i])))
+    number.default_factory = None  # which holds number, so it would stay in memory for long
     return [f" {x}" for x in number], held
 
 
