@@ -28,10 +28,28 @@ def preview(text: Column, size: int = 120) -> Column:
 
 
 def shown_score(score: Column) -> Column:
-    return F.when(score.isNull(), F.lit("N/A")).otherwise(F.format_string("%.4f", score))
+    """Four places, rounded from the double's exact value, halves to even; N/A for null.
+
+    score * 10,000 is worked out as a double and what that double lacks, so that halves of the
+    shortest decimal, which the double itself may miss on either side, are told from true ones.  Beyond
+    2^53 the digits are those of the shortest decimal.
+    """
+    size = F.abs(score)
+    high = size * 134217729.0 - (size * 134217729.0 - size)  # the upper half of the digits
+    low = size - high
+    product = high * 10000.0 + low * 10000.0
+    lacking = (high * 10000.0 - product) + low * 10000.0
+    whole = F.floor(product)
+    over = (product - whole - 0.5) + lacking
+    units = F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), whole + 1).otherwise(whole).cast("long")
+    sign = F.when((score < 0) | (score.cast("string") == "-0.0"), "-").otherwise("")
+    shown = F.concat(sign, F.floor(units / 10000).cast("string"), F.lit("."), F.lpad((units % 10000).cast("string"), 4, "0"))
+    odd = F.when(F.isnan(score), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.format_string("%.4f", score))
+    return F.when(score.isNull(), "N/A").when(size < 1e9, shown).otherwise(odd)  # from there on a double has no half at the fifth place
 
 
 def source_label(metadata: Column, unknown: str = "未知文档") -> Column:
+    """The source, else the name that the metadata has for the file, else a fixed text; null metadata has neither."""
     return F.coalesce(metadata["source"], metadata["doc_name"], F.lit(unknown))
 
 

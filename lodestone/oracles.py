@@ -62,6 +62,7 @@ ORACLE_SQL: dict[str, str] = {
     "sse_events": _EVENTS,
     "embed_documents": _EMBEDDED,
     "dense_topk_ip": f"WITH {_dense('IP', places='{}')} SELECT * FROM dense",
+    "ivf_topk": f"WITH {_dense('IP')} SELECT * FROM dense",
     "dense_topk_l2": f"WITH {_dense('L2', order='ASC')} SELECT * FROM dense",
     "dense_topk_cosine": f"WITH {_dense('COSINE')} SELECT * FROM dense",
     "dense_topk_threshold": f"WITH {_dense('IP', having='score >= 0.25')} SELECT * FROM dense",

@@ -16,6 +16,7 @@ from lodestone.operators.ann import IVFIndex
 from lodestone.operators.bm25 import corpus_size, document_weights, idf_table, postings, query_weights, sparse_search, sparse_vectors
 from lodestone.operators.chunks import with_dense_ids
 from lodestone.operators.fusion import rrf
+from lodestone.operators.graph import GraphIndex
 from lodestone.operators.predicates import matching
 from lodestone.operators.search import dense_search
 from lodestone.schema import MAX_TEXT_BYTES
@@ -46,7 +47,7 @@ class Collection:
     def create(self) -> None:
         """An error if it is there already."""
         if self.exists():
-            raise CollectionExistsError(f"集合已存在: {self.path}")
+            raise CollectionExistsError(f"集合已存在 (the collection exists): {self.path}")
         fs, target = self._fs()
         fs.mkdirs(target)
 
@@ -98,13 +99,22 @@ class Collection:
     def _weights(self, part: str) -> DataFrame:
         return self._table(f"weights/{self._table('current').first()['version']}/{part}")
 
-    def build_index(self, nlist: int | None = None) -> None:
-        """Deal all rows into the cells of an inverted file; run after inserts."""
-        IVFIndex(self.rows(), nlist).save(f"{self.path}/index")
-
-    def approximate_search(self, queries: DataFrame, k: int = 5, threshold: float | None = None, nprobe: int | None = None) -> DataFrame:
-        """Like search, among the rows of each query's nearest cells."""
-        found = IVFIndex.load(self.spark, f"{self.path}/index").search(queries, k, nprobe, self.metric)
+    def build_index(self, nlist: int | None = None, graph: bool = False) -> None:
+        """Deal all rows into the cells of an inverted file, or link them in a graph; run after inserts."""
+        name = "graph-index" if graph else "index"
+        (GraphIndex(self.rows(), self.metric) if graph else IVFIndex(self.rows(), nlist)).save(f"{self.path}/{name}")
+        self.spark.range(1).select(F.lit(self.count()).alias("rows")).write.mode("overwrite").parquet(f"{self.path}/{name}/covers")
+
+    def _covered(self, name: str) -> bool:
+        """Whether an index was built over as many rows as there are now; rows are only ever appended."""
+        return self._has(f"{name}/covers") and self._table(f"{name}/covers").first()["rows"] == self.count()
+
+    def approximate_search(self, queries: DataFrame, k: int = 5, threshold: float | None = None, nprobe: int | None = None, beam: int | None = None) -> DataFrame:
+        """Like search: among the rows of each query's nprobe nearest cells, or those that a beam over the graph finds."""
+        if beam is not None:
+            found = GraphIndex.load(self.spark, f"{self.path}/graph-index", self.metric).search(queries, k, beam)
+        else:
+            found = IVFIndex.load(self.spark, f"{self.path}/index").search(queries, k, nprobe, self.metric)
         return self._hits(found if threshold is None else found.filter(F.col("score") >= threshold))
 
     def count(self) -> int:
@@ -118,7 +128,13 @@ class Collection:
         return ranks.join(self.rows().select("id", "text", "metadata"), "id")
 
     def search(self, queries: DataFrame, k: int = 5, threshold: float | None = None, expr: str | None = None) -> DataFrame:
-        """queries (qid, vector) -> hits qid, id, text, metadata, score, rank."""
+        """queries (qid, vector) -> hits qid, id, text, metadata, score, rank; exact.
+
+        Without expr, cells that can't hold a hit are left out if an inverted file covers all rows.
+        """
+        if expr is None and self._covered("index"):
+            found = IVFIndex.load(self.spark, f"{self.path}/index").search(queries, k, None, self.metric)
+            return self._hits(found if threshold is None else found.filter(F.col("score") >= threshold))
         return self._hits(dense_search(queries, self.rows(), k, self.metric, threshold, expr))
 
     def _sparse(self, queries: DataFrame, k: int, threshold: float | None, expr: str | None) -> DataFrame:

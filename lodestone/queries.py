@@ -15,6 +15,7 @@ from lodestone.operators.bm25 import asked_only, corpus_size, document_weights,
 from lodestone.operators.chunks import ChunkSettings, chunk_statistics, exploded_chunks, with_dense_ids
 from lodestone.operators.embedding import cache_misses, embedded, hashing_embedder
 from lodestone.operators.fusion import rrf
+from lodestone.operators.graph import GraphIndex
 from lodestone.operators.predicates import matching
 from lodestone.operators.search import dense_search
 from lodestone.operators.tables import kept, shared_folder
@@ -219,9 +220,14 @@ def collection_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = IVFIndex(collection(spark, sf_dir))
-    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    rows = index.search(asked, K)
+    """Through cells whose bounds leave no row out: the exact result."""
+    rows = IVFIndex(collection(spark, sf_dir)).search(vector_queries(spark, sf_dir), K)
+    return rows.select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def graph_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through a small-world graph: approximate."""
+    rows = GraphIndex(collection(spark, sf_dir)).search(vector_queries(spark, sf_dir), K)
     return rows.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -277,6 +283,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "collection_stats": collection_stats,
     "collection_roundtrip": collection_roundtrip,
     "ivf_topk": ivf_topk,
+    "graph_topk": graph_topk,
     "embed_cache_misses": embed_cache_misses,
     "embed_documents": embed_documents,
     "question_validation": question_validation,

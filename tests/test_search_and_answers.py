@@ -56,7 +56,7 @@ def test_dense_search(spark, block):
     asked = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 2.0])], "qid int, vector array<float>")
 
     def found(**options):
-        return sorted((r["qid"], r["rank"], r["id"]) for r in dense_search(asked, rows, 2, query_block=block, **options).collect())
+        return sorted((r["qid"], r["rank"], r["id"]) for r in dense_search(asked, rows, 2, query_bytes=16 * block, **options).collect())
 
     assert found() == [(10, 1, 1), (10, 2, 3), (11, 1, 2), (11, 2, 4)]
     assert found(metric="l2") == [(10, 1, 1), (10, 2, 3), (11, 1, 2), (11, 2, 4)]
