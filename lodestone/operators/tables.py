@@ -49,3 +49,10 @@ def shipped(spark: SparkSession) -> None:
             for source in sorted((root / "lodestone").rglob("*.py")):
                 out.write(source, source.relative_to(root))
         context.addPyFile(str(code))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt over all cores first where they come in fewer files than there are cores: a file may
+    be one row group, which a single task would read and work on."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows

@@ -77,6 +77,7 @@ ORACLE_SQL: dict[str, str] = {
     "bm25_doc_weights": f"WITH {_TERMS} SELECT * FROM docw",
     "bm25_query_weights": f"WITH {_TERMS} SELECT * FROM qw",
     "bm25_search": f"WITH {_TERMS}, {_sparse()} SELECT * FROM sparse",
+    "bm25_blockmax": f"WITH {_TERMS}, {_sparse()} SELECT * FROM sparse",
     "bm25_search_expr": f"WITH {_TERMS}, {_sparse(EN, 'score >= 20')} SELECT * FROM sparse",
     "hybrid_rrf": f"WITH {_dense('IP', asked=QUESTIONS)}, {_TERMS}, {_sparse()}, {_RRF} SELECT * FROM hybrid",
     "hybrid_rrf_threshold": f"WITH {_dense('IP', asked=QUESTIONS)}, {_TERMS}, {_sparse()}, {_RRF} SELECT * FROM hybrid WHERE rrf_score >= 0.016",

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.ann import IVFIndex
-from lodestone.operators.bm25 import corpus_size, document_weights, idf_table, postings, query_weights, sparse_search, sparse_vectors
+from lodestone.operators.blockmax import BlockedPostings
+from lodestone.operators.bm25 import corpus_size, document_weights, idf_table, postings, query_weights, sparse_vectors
 from lodestone.operators.chunks import with_dense_ids
 from lodestone.operators.fusion import rrf
 from lodestone.operators.graph import GraphIndex
@@ -22,10 +23,6 @@ from lodestone.operators.search import dense_search
 from lodestone.schema import MAX_TEXT_BYTES
 
 
-#: Tasks that the postings of one term are dealt over.
-TERM_PARTS = 64
-
-
 class CollectionExistsError(Exception):
     pass
 
@@ -91,9 +88,7 @@ class Collection:
         version = uuid.uuid4().hex
         idf_table(found, size).write.parquet(f"{self.path}/weights/{version}/terms")
         weights = document_weights(found, self.spark.read.parquet(f"{self.path}/weights/{version}/terms"), size)
-        # A term that every text has is dealt over many tasks; within a file terms are sorted, so that a search reads few row groups.
-        dealt = weights.repartition("term", F.pmod(F.xxhash64("id"), F.lit(TERM_PARTS))).sortWithinPartitions("term", "id")
-        dealt.write.parquet(f"{self.path}/weights/{version}/postings")
+        BlockedPostings(weights).save(f"{self.path}/weights/{version}")
         self.spark.range(1).select(F.lit(version).alias("version")).write.mode("overwrite").parquet(f"{self.path}/current")
 
     def _weights(self, part: str) -> DataFrame:
@@ -138,8 +133,10 @@ class Collection:
         return self._hits(dense_search(queries, self.rows(), k, self.metric, threshold, expr))
 
     def _sparse(self, queries: DataFrame, k: int, threshold: float | None, expr: str | None) -> DataFrame:
-        weights = query_weights(queries, "qid", "question", self._weights("terms"))
-        return sparse_search(weights, self._weights("postings"), k, threshold, matching(self.rows(), expr).select("id") if expr else None)
+        version = self._table("current").first()["version"]
+        weights = query_weights(queries, "qid", "question", self._table(f"weights/{version}/terms"))
+        blocked = BlockedPostings.load(self.spark, f"{self.path}/weights/{version}")
+        return blocked.search(weights, k, threshold, matching(self.rows(), expr).select("id") if expr else None)
 
     def keyword_search(self, queries: DataFrame, k: int = 5, threshold: float | None = None, expr: str | None = None) -> DataFrame:
         """queries (qid, question) -> hits; a question without known terms has none."""

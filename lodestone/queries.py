@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import preview, shortened, shown_score, source_label, tokens
 from lodestone.functions.vectors import has_dimension, l2_norm, normalized
 from lodestone.operators.ann import IVFIndex
+from lodestone.operators.blockmax import BlockedPostings
 from lodestone.operators.bm25 import asked_only, corpus_size, document_weights, idf_table, postings, query_weights, sparse_search
 from lodestone.operators.chunks import ChunkSettings, chunk_statistics, exploded_chunks, with_dense_ids
 from lodestone.operators.embedding import cache_misses, embedded, hashing_embedder
@@ -18,7 +19,7 @@ from lodestone.operators.fusion import rrf
 from lodestone.operators.graph import GraphIndex
 from lodestone.operators.predicates import matching
 from lodestone.operators.search import dense_search
-from lodestone.operators.tables import kept, shared_folder
+from lodestone.operators.tables import kept, shared_folder, spread
 from lodestone.plans import rag
 from lodestone.plans.collection import MAX_TEXT_BYTES, Collection
 
@@ -52,7 +53,7 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = kept(postings(docs, "doc_id", "text"), "postings")
+    found = kept(postings(spread(docs), "doc_id", "text"), "postings")
     size = corpus_size(docs, found)
     return found, size, idf_table(found, size)
 
@@ -116,6 +117,13 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sparse(spark, sf_dir)
 
 
+def bm25_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same result through blocks of postings and their largest weights."""
+    found, size, idf = _terms(spark, sf_dir)
+    asked = kept(query_weights(text_queries(spark, sf_dir), "qid", "question", idf), "asked")
+    return BlockedPostings(document_weights(found, idf, size)).search(asked, K)
+
+
 def bm25_search_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sparse(spark, sf_dir, 'lang == "en" && n_chars > 500', 20.0)
 
@@ -152,7 +160,7 @@ def fixed_chunks_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _split(how: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return exploded_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", SETTINGS, how)
+        return exploded_chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", SETTINGS, how)
 
     return run
 
@@ -263,6 +271,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_doc_weights": bm25_doc_weights,
     "bm25_query_weights": bm25_query_weights,
     "bm25_search": bm25_search,
+    "bm25_blockmax": bm25_blockmax,
     "bm25_search_expr": bm25_search_expr,
     "hybrid_rrf": hybrid_rrf,
     "hybrid_rrf_threshold": hybrid_rrf_threshold,

@@ -1,12 +1,14 @@
 """Ranking, fusion, filters, BM25, index, embedding, answers."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators.ann import IVFIndex, cells
+from lodestone.operators.blockmax import BlockedPostings
 from lodestone.operators.bm25 import corpus_size, document_weights, idf_table, postings, query_weights, sparse_search, sparse_vectors
 from lodestone.operators.embedding import EmbeddingError, embed_cached, embedded, hashing_embedder, with_retries
 from lodestone.operators.fusion import rrf
@@ -47,6 +49,26 @@ def test_sparse_search_filters_before_the_cut(spark):
     assert sparse_search(asked, weights, 5, threshold=100.0).count() == 0
 
 
+def test_blocks_give_what_all_postings_give(spark, tmp_path):
+    rng = random.Random(6)
+    words = [f"w{min(int(rng.paretovariate(0.6)), 400)}" for _ in range(6000)]
+    docs = spark.createDataFrame([(i, " ".join(words[9 * i % 5900 : 9 * i % 5900 + 3 + i % 40])) for i in range(700)] + [(900 + i, words[0]) for i in range(30)], "id long, text string")
+    found = postings(docs, "id", "text")
+    size = corpus_size(docs, found)
+    idf = idf_table(found, size)
+    weights = document_weights(found, idf, size)
+    asked = query_weights(spark.createDataFrame([(i, " ".join(rng.choices(words, k=1 + i % 6))) for i in range(40)] + [(99, "none of these")], "qid int, question string"), "qid", "question", idf)
+    BlockedPostings(weights, 4).save(str(tmp_path))
+    blocked = BlockedPostings.load(spark, str(tmp_path))
+    allowed = docs.filter("id % 3 = 0").select("id")
+    for options in ({}, {"threshold": 4.0}, {"allowed": allowed}):
+        wanted = sorted(map(tuple, sparse_search(asked, weights, 4, **options).collect()))
+        assert sorted(map(tuple, blocked.search(asked, 4, **options).collect())) == wanted and wanted
+    assert 0 < blocked.share_read() < 0.9
+    assert blocked.search(asked.limit(0), 4).count() == 0
+    assert BlockedPostings(weights.limit(0)).search(asked, 4).count() == 0
+
+
 VECTORS = [(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b"), (3, [1.0, 0.0], "b"), (4, [0.5, 0.5], "a")]
 
 
