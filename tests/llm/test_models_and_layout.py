@@ -55,12 +55,26 @@ def test_word_values_equal_plain_sums():
 
 
 def test_toxicity_held_out(spark):
-    rows = queries.op7_toxicity(spark, SMALL).join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id").toPandas()
+    """Nine of ten toxic texts of the held-out fold are found, within what runs differ by, and few clean ones are flagged."""
+    large = "/root/testdata/sf0.1"
+    rows = queries.op7_toxicity(spark, large).join(spark.read.parquet(f"{large}/labels.parquet"), "doc_id").toPandas()
     held = rows[rows.held_out]
+    toxic, clean = held[held.toxic == 1], held[held.toxic == 0]
+    assert (toxic.predicted == 1).mean() >= 0.85
+    assert (clean.predicted == 1).mean() <= 0.06
     assert (rows.held_out == rows.doc_id.map(lambda x: zlib.crc32(str(x).encode()) % 5 == 0)).all()
-    assert held[held.toxic == 1].score.mean() > held[held.toxic == 0].score.mean()
-    assert ((held.predicted == 1) == (held.score >= 0.5)).all()
-    assert (held.predicted == held.toxic).mean() > 0.9
+    assert ((rows.score >= 0.5) == (rows.predicted == 1)).all() and rows.score.between(0, 1).all()
+
+
+def test_a_long_text_keeps_no_other_out(spark):
+    rows = [(i, f"text {i}") for i in range(40)] + [(100 + i, "x" * 2000) for i in range(3)] + [(200, "y" * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0 or i >= 100)) for i, _ in rows], "doc_id long, toxic int")
+    texts, label, _ = toxicity.training_rows(docs, labels, most_bytes=6000)
+    short = [(t, y) for t, y in zip(texts, label, strict=True) if len(t) < 100]
+    learnt = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(short) == sorted((f"text {i}", int(i % 2 == 0)) for i in learnt if i < 100)
+    assert sum(len(t) == 2000 for t in texts) == min(2, sum(100 <= i < 200 for i in learnt)) and not any(t.startswith("y") for t in texts)
 
 
 def test_toxicity_ignores_held_out_labels(spark):
