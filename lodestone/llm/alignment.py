@@ -37,8 +37,9 @@ from tokenizers import Tokenizer
 from lodestone.llm.common import give_back, ready, stored, thrifty
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Characters of text and documents of a block at most (a longer text is a block of its own), and occurrences of pairs that are dealt with at a time.
-BLOCK_CHARS, BLOCK_DOCS, ENTRIES = 2 << 20, 60_000, 2_000_000
+#: Characters of text and documents of a block at most (a longer text is a block of its own), occurrences of pairs of a block that
+#: are dealt with at a time, and entries of cogrouped postings that a task adds up at a time.
+BLOCK_CHARS, BLOCK_DOCS, OCCURRENCES, ENTRIES = 1 << 20, 60_000, 500_000, 2_000_000
 #: Characters that one call gets, and from which a unit goes to the library whose work doesn't grow with its square.
 CALL_CHARS, LONG_UNIT = 1 << 12, 500
 #: Rows of an Arrow batch of postings.
@@ -229,7 +230,7 @@ class Block:
         unit = self.unit_of_group[self.a_group]
         docs_of_unit = np.bincount(self.unit, minlength=len(self.units))
         by_id = np.bincount(self.a_id, weights=many * docs_of_unit[unit]).cumsum() if len(self.a_id) else np.zeros(0)
-        turn = (by_id / ENTRIES).astype(np.int64)[self.a_id]
+        turn = (by_id / OCCURRENCES).astype(np.int64)[self.a_id]
         order = np.argsort(self.unit, kind="stable")
         doc, times, starts = self.doc[order], self.times[order], np.r_[0, np.cumsum(docs_of_unit)]
         for now in range(int(turn.max(initial=-1)) + 1):

@@ -218,7 +218,7 @@ def test_alignment_of_small_blocks(monkeypatch, libraries):
 
     whole, one = gathered()
     monkeypatch.setattr(alignment, "BLOCK_CHARS", 3000)
-    monkeypatch.setattr(alignment, "ENTRIES", 500)
+    monkeypatch.setattr(alignment, "OCCURRENCES", 500)
     parts, several = gathered()
     assert parts == whole and one == 1 and several > 5
     assert max(whole.values()) > 255
