@@ -12,7 +12,7 @@ from lodestone.operators.blockmax import BlockedPostings
 from lodestone.operators.bm25 import corpus_size, document_weights, idf_table, postings, query_weights, sparse_search, sparse_vectors
 from lodestone.operators.embedding import EmbeddingError, embed_cached, embedded, hashing_embedder, with_retries
 from lodestone.operators.fusion import rrf
-from lodestone.operators.predicates import matching, to_sql
+from lodestone.operators.predicates import FilterError, matching, to_sql
 from lodestone.operators.search import dense_search
 from lodestone.plans import rag
 
@@ -89,8 +89,17 @@ def test_dense_search(spark, block):
         found(metric="jaccard")
 
 
-def test_predicates(spark):
-    assert to_sql('metadata["k"] == "it\'s" && x in [1, 2] || y like "a%"') == "metadata.k = 'it\\'s'  AND  x in (1, 2)  OR  y like 'a%'"
+def test_predicates(spark, tmp_path):
+    assert to_sql('metadata["k"] == "it\'s" && x in [1, 2] || y like "a%"') == "`metadata`.`k` = 'it\\'s' AND `x` IN ( 1 , 2 ) OR `y` LIKE 'a%'"
+    for bad in ("x in (select 1)", "exists (select 1)", "upper(y) == 'A'", "x == 1; drop", "x in [1, 2", "x == 1)", "a b", "x in [1)", 'y == "open', "x -- c\n== 1 y"):
+        with pytest.raises(FilterError):
+            to_sql(bad)
+    with pytest.raises(FilterError, match="at 5"):
+        to_sql("x == $1")
+    spark.createDataFrame([(i, f"t{i}") for i in range(50)], "x int, y string").write.parquet(str(tmp_path / "rows"))
+    some = matching(spark.read.parquet(str(tmp_path / "rows")), 'x >= 40 && !(y == "t41") and x + 1 != 43')
+    assert sorted(r["x"] for r in some.collect()) == [40, *range(43, 50)]
+    assert "GreaterThanOrEqual(x,40)" in some._jdf.queryExecution().toString().split("PushedFilters", 1)[1]
     rows = spark.createDataFrame([(1, "it's"), (2, "a && b")], "x int, y string")
     assert [r["x"] for r in matching(rows, 'y == "a && b"').collect()] == [2]
     assert [r["x"] for r in matching(rows, 'y == "it\'s" && x in [1]').collect()] == [1]
