@@ -6,14 +6,17 @@ window needs all of its shingles, so a prefix of one shingle suffices as a filte
 rarest over all documents filters most.  The join goes
 
   item shingles       x  documents  -> how often each occurs: the order by rarity
-  rarest of a window  x  documents  -> (text, item, diagonal)
-
-Both keep documents where they lie: the item side is sent to all executors, in as many
-blocks of bounded size as it takes.  An item's shingles and windows are a row a place, so
-work is linear in its length.  A diagonal is document place minus item place; the bounds on
-place and length cut what an item and a document can share on it, only that stretch of the
-document leaves it, and there the words themselves are compared one by one, so hash
-collisions change nothing.  Equal runs as long as a window are the hit places.
+  rarest of a window  x  documents  -> (text, item, diagonal, block)
+
+Both keep documents where they lie while the item side is small enough to be sent to all
+executors; beyond that both sides are shuffled.  An item's shingles are a row a place, and of
+windows of the same words the first alone is looked for, so an item that repeats itself asks
+for little.  A diagonal is document place minus item place.  Items are cut into blocks of
+places; what a document shares with an item is bounded by the windows that a met shingle
+stands for, within the block that it lies in.  Only that stretch of the document leaves it,
+and there the words themselves are compared one by one, so collisions of shingles change
+nothing.  Equal runs as long as a window are the hit places.  A document of n equal words
+against an item of m costs n stretches of one window, and not n * m.
 
 Texts are keyed by two 64-bit hashes, so that copies share their candidates.
 """
@@ -27,7 +30,9 @@ from lodestone.llm.common import attach, discard, packed, stored, text_key, unpa
 from lodestone.llm.spans import let, regex_spans
 
 WINDOW, SHINGLE = 13, 3
-#: Item shingles that are sent to every executor at a time (some 40 bytes each), hit texts up to whose number their table is.
+#: Places of an item that are compared together.
+BLOCK = 64
+#: Item shingles that are sent to every executor at most (some 40 bytes each), hit texts up to whose number their table is.
 SENT_SHINGLES, SENT_CANDIDATES = 1_000_000, 30_000
 #: Bytes of words up to which items are sent to every executor; beyond, candidates are shuffled to them.
 SENT_BYTES = 16 << 20
@@ -54,58 +59,68 @@ def item_words(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGL
 
 
 def item_shingles(items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """item, long, size, n (words of the item), place and shingle: a row a place at which a shingle starts."""
+    """item, long, size, n (words of the item), place, shingle and window: a row a place at which a shingle
+    starts, with a digest of the words of the window that starts there, if one does."""
     hashed = F.lit(None).cast("array<bigint>")
     for k in range(1, shingle + 1):
         hashed = F.when(F.col("size") == k, F.slice(shingles_of(F.col("words"), k), F.lit(1), F.size("words") - F.lit(k - 1))).otherwise(hashed)
-    return items.select("item", "long", "size", F.size("words").alias("n"), F.posexplode(hashed).alias("place", "shingle"))
+    both = F.transform(hashed, lambda h, i: F.struct(h.alias("shingle"), F.when(i <= F.size("words") - F.col("long"), F.md5(F.array_join(F.slice("words", i + 1, F.col("long")), " ").cast("binary"))).alias("window")))
+    return items.select("item", "long", "size", F.size("words").alias("n"), F.posexplode(both).alias("place", "x")).select("item", "long", "size", "n", "place", "x.*")
+
+
+def item_blocks(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item, item_id, long, block, start and words: the words around each BLOCK of places, as far as windows reach that hold one of them."""
+    start = lambda i: F.greatest(F.lit(0), i * BLOCK - F.lit(window - 1))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / BLOCK).cast("int")), lambda i: F.struct(i.alias("block"), start(i).alias("start"), F.slice("words", start(i) + 1, F.lit(BLOCK + window - 1) + i * BLOCK - start(i)).alias("words")))
+    return items.select("item", "item_id", "long", F.explode(cut).alias("x")).select("item", "item_id", "long", "x.*")
 
 
 def rarest_of_windows(shingles: DataFrame, seen: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """item, n, size, shingle and place of the rarest shingle of each window of which every shingle was seen.
+    """item, size, shingle and place of the rarest shingle of each window of which every shingle was seen, and
+    low and high: the item's places from the start of the first to the end of the last window that it stands for.
 
     A frame holds the shingles of the window that starts at its first row; a shorter item is
-    one window, and its only full frame is the first.
+    one window, and its only full frame is the first.  Of windows of the same words in an item the first stays.
     """
     ranked = shingles.join(seen, ["size", "shingle"], "left")
     frame = Window.partitionBy("item").orderBy("place").rowsBetween(0, max(0, window - shingle))
     rarest = F.min(F.when(F.col("seen").isNotNull(), F.struct("seen", "shingle", "place"))).over(frame)
-    framed = ranked.select("item", "n", "size", (F.col("long") - F.col("size") + 1).alias("needed"), F.count("seen").over(frame).alias("there"), rarest.alias("x"))
-    return framed.filter("there = needed").select("item", "n", "size", "x.shingle", "x.place").distinct()
+    framed = ranked.select("item", "size", "long", "window", F.col("place").alias("first"), (F.col("long") - F.col("size") + 1).alias("needed"), F.count("seen").over(frame).alias("there"), rarest.alias("x"))
+    whole = framed.filter("there = needed and window is not null")
+    firsts = whole.groupBy("item", "window").agg(F.min(F.struct("first", "size", "long", "x")).alias("w")).select("item", "w.*")
+    return firsts.groupBy("item", "size", "x.shingle", "x.place").agg(F.min("first").alias("low"), F.max(F.col("first") + F.col("long")).alias("high"))
 
 
 def meetings(docs: DataFrame, wanted: DataFrame, most: int = SENT_SHINGLES) -> DataFrame:
     """_key_a, _key_b, at and wanted's columns wherever a document has one of its shingles (size, shingle).
 
-    Documents stay where they are; wanted, a stored table, meets them in blocks of `most` rows
-    or so, each sent to all executors.
+    Documents stay where they are if wanted, a stored table, has no more than `most` rows of a
+    size of shingles and is sent to all executors; beyond that one shuffled join meets them.
     """
     sizes = {r["size"]: r["n"] for r in wanted.groupBy("size").agg(F.count("*").alias("n")).collect()}  # a row a size of shingles
     cut = docs.select(*text_key(), words_of(F.col("text")).alias("_words"))  # a step of its own, so that words are cut once a text
     found = None
     for size, rows in sizes.items():
         placed = cut.select("_key_a", "_key_b", F.posexplode(shingles_of(F.col("_words"), size)).alias("at", "shingle"))
-        blocks = -(-rows // max(1, most))
-        for i in range(blocks):
-            own = (F.col("size") == size) & (F.pmod(F.xxhash64(*wanted.columns), F.lit(blocks)) == i)
-            part = placed.join(F.broadcast(wanted.filter(own)), "shingle")
-            found = part if found is None else found.unionByName(part)
+        own = wanted.filter(F.col("size") == size)
+        part = placed.join(F.broadcast(own) if rows <= most else own, "shingle")
+        found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.select(*text_key(), F.lit(0).alias("at")).crossJoin(wanted.limit(0)).limit(0)
     return found
 
 
-def overlap(part: Column, words: Column, first: Column, diagonal: Column, long: Column, window: int) -> Column:
+def overlap(part: Column, words: Column, first: Column, begin: Column, long: Column, window: int) -> Column:
     """Stretches (start, end) of document places where windows of an item stand on one diagonal;
-    part is the document's stretch from place first + diagonal on, words the item's."""
+    part is the document's stretch from place `begin` on, which is to equal words from place `first` on."""
     kind = "array<struct<start:bigint,end:bigint>>"
     same = F.zip_with(F.slice(words, first + 1, F.size(part)), part, lambda a, b: F.when(a == b, "1").otherwise("0"))
-    begin = (first + diagonal).cast("long")
+    begin = begin.cast("long")
 
     def stretches(whole: Column) -> Column:
         runs = F.transform(regex_spans(whole, f"1{{{window},}}"), lambda x: F.struct((x["start"] + begin).alias("start"), (x["end"] + begin).alias("end")))
-        short = F.array(F.struct(begin.alias("start"), (begin + F.size(words)).cast("long").alias("end")))
-        return F.when(F.size(words) >= window, runs).when(whole == F.repeat(F.lit("1"), F.size(words)), short).otherwise(F.array().cast(kind))
+        short = F.array(F.struct(begin.alias("start"), (begin + long).cast("long").alias("end")))
+        return F.when(long >= window, runs).when(whole == F.repeat(F.lit("1"), long), short).otherwise(F.array().cast(kind))
 
     return F.when(F.size(part) < long, F.array().cast(kind)).otherwise(let(F.array_join(same, ""), stretches))
 
@@ -122,14 +137,15 @@ def covered(stretches: Column) -> Column:
 
 
 def candidates(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, most_shingles: int = SENT_SHINGLES) -> DataFrame:
-    """_key_a, _key_b and _hits: (item, n, diagonal) of each text that holds the rarest shingle of some window."""
+    """_key_a, _key_b and _hits: (item, diagonal, block, low, high) of each text that holds the rarest shingle of some window."""
     spark = docs.sparkSession
     shingles, shingles_path = stored(item_shingles(items, shingle), "item-shingles")
     asked, asked_path = stored(shingles.select("size", "shingle").distinct(), "asked-shingles")
     seen, seen_path = stored(meetings(docs, asked, most_shingles).groupBy("size", "shingle").agg(F.count("*").alias("seen")), "seen-shingles")
     prefix, prefix_path = stored(rarest_of_windows(shingles, seen, window, shingle), "window-prefixes")
-    met = meetings(docs, prefix, most_shingles).select("_key_a", "_key_b", F.struct("item", "n", (F.col("at") - F.col("place")).alias("diagonal")).alias("hit"))
-    found, _ = stored(met.groupBy("_key_a", "_key_b").agg(F.collect_set("hit").alias("_hits")), "window-hits")
+    met = meetings(docs, prefix, most_shingles).select("_key_a", "_key_b", "item", (F.col("at") - F.col("place")).alias("diagonal"), F.floor(F.col("place") / BLOCK).cast("int").alias("block"), "low", "high")
+    each = met.groupBy("_key_a", "_key_b", "item", "diagonal", "block").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found, _ = stored(each.groupBy("_key_a", "_key_b").agg(F.collect_list(F.struct("item", "diagonal", "block", "low", "high")).alias("_hits")), "window-hits")
     for path in (shingles_path, asked_path, seen_path, prefix_path):
         discard(spark, path)
     return found
@@ -141,12 +157,13 @@ def occurring(docs: DataFrame, items: DataFrame, hits: DataFrame, window: int =
     size = items.agg(F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + 40 + F.octet_length(w))).alias("n")).first()["n"] or 0
     side = F.broadcast(hits) if total <= most_candidates else hits
     texts = docs.select(*text_key(), "text").join(side, ["_key_a", "_key_b"]).select("_key_a", "_key_b", "_hits", words_of(F.col("text")).alias("_words"))
-    each = texts.select("_key_a", "_key_b", "_words", F.explode("_hits").alias("hit")).select("_key_a", "_key_b", "_words", "hit.*")
-    first = F.greatest(F.lit(0), -F.col("diagonal"))
-    shared = F.greatest(F.lit(0), F.least(F.col("n") - first, F.size("_words") - first - F.col("diagonal")))
-    parts = each.select("_key_a", "_key_b", "item", "diagonal", first.alias("first"), F.slice("_words", first + F.col("diagonal") + 1, shared).alias("part"))
-    whole = parts.join(F.broadcast(items) if size <= most_bytes else items, "item")
-    at = whole.select("_key_a", "_key_b", "item_id", overlap(F.col("part"), F.col("words"), F.col("first"), F.col("diagonal"), F.col("long"), window).alias("at")).filter(F.size("at") > 0)
+    first = lambda h: F.greatest(h["low"], -h["diagonal"])
+    shared = lambda h: F.greatest(F.lit(0), F.least(h["high"] - first(h), F.size("_words") - first(h) - h["diagonal"]))
+    cut = F.transform("_hits", lambda h: F.struct(h["item"].alias("item"), h["block"].alias("block"), first(h).alias("first"), (first(h) + h["diagonal"]).alias("begin"), F.slice("_words", first(h) + h["diagonal"] + 1, shared(h)).alias("part")))
+    parts = texts.select("_key_a", "_key_b", F.explode(cut).alias("x")).select("_key_a", "_key_b", "x.*")
+    blocks = item_blocks(items, window)
+    whole = parts.join(F.broadcast(blocks) if size <= most_bytes else blocks, ["item", "block"])
+    at = whole.select("_key_a", "_key_b", "item_id", overlap(F.col("part"), F.col("words"), F.col("first") - F.col("start"), F.col("begin"), F.col("long"), window).alias("at")).filter(F.size("at") > 0)
     of_text = at.groupBy("_key_a", "_key_b").agg(F.array_sort(F.flatten(F.collect_set("at"))).alias("at"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
     return of_text.select("_key_a", "_key_b", covered(F.col("at")).alias("_n_hit"), "_items")
 

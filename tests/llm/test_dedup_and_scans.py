@@ -138,6 +138,31 @@ def test_contamination_of_a_long_item(spark):
     assert rows == {1: (10_002, 9999, ["7"]), 2: (12, 0, []), 3: (13, 13, ["7"])}
 
 
+def test_contamination_of_repeated_words(spark):
+    """Items and documents that repeat themselves, by period and in blocks, against windows written out."""
+    rng = np.random.default_rng(6)
+    loops = [" ".join(f"w{i % p}" for i in range(n)) for p, n in ((1, 13), (1, 40), (2, 90), (5, 200), (13, 70))]
+    few = [" ".join(rng.choice(["a", "b"], n)) for n in (12, 13, 80, 300)]
+    long = [f"u{i}" for i in range(300)]
+    items = [*enumerate([*loops, *few, " ".join(long), "a " * 13 + " ".join(long) + " b" * 13])]
+    texts = [*loops, *few, "w0 " * 12, "w0 " * 500 + "w1", " ".join(rng.choice(["a", "b"], 900)), " ".join(long[50:150] + ["x"] + long[120:260]), "a " * 400 + "b " * 400]
+    docs = spark.createDataFrame([*enumerate([*texts, *texts[:3]])], "doc_id long, text string")
+    rows = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in rows} == {r["doc_id"]: brute.contamination(r["text"], items) for r in rows}
+
+
+def test_contamination_of_equal_words_is_linear(spark):
+    """100,000 equal words against an item of 10,000."""
+    import time
+
+    docs = spark.createDataFrame([(1, "a " * 100_000), (2, "a " * 12 + "b " + "a " * 13)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, "a " * 10_000)], "item_id long, text string")
+    began = time.monotonic()
+    rows = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(docs, benchmark).collect()}
+    assert rows == {1: (100_000, 100_000, ["7"]), 2: (26, 13, ["7"])}
+    assert time.monotonic() - began < 60
+
+
 def test_spans_of_very_many_matches(spark):
     """A hundred thousand matches in a text, in about linear time."""
     import time
