@@ -30,7 +30,11 @@ def corpus_size(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def idf_table(found: DataFrame, size: DataFrame) -> DataFrame:
     """term, df and idf; the one-row size is sent to every task."""
-    counted = found.groupBy("term").agg(F.count("*").alias("df"))
+    return idf_of(found.groupBy("term").agg(F.count("*").alias("df")), size)
+
+
+def idf_of(counted: DataFrame, size: DataFrame) -> DataFrame:
+    """The same from terms that are counted already (term, df)."""
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     return counted.crossJoin(F.broadcast(size.select("n"))).select("term", "df", idf.alias("idf"))
 

@@ -1,8 +1,12 @@
 """A searchable collection: a folder of Parquet with rows, term table and corpus size.
 
-An insert adds its rows' term counts to the collection, so texts are cut once.  build_terms
-weighs all kept counts anew and switches to the new tables when they are whole.  One writer
-at a time: two inserts at once would give the same ids.
+An insert writes a batch of rows, their term counts, and how many of its texts hold each term;
+a commit in the log makes the batch count.  Writers may work at once, and what a lost one left
+is never seen.  Corpus statistics are sums over the batches, so an append costs work in its own
+batch alone: weights are worked out from counts and the statistics of the moment, for the terms
+that a search asks for.  build_terms weighs all rows once and for all, in blocks, which searches
+use as long as no later batch has been committed.  A collection at() a version reads what was
+committed up to it.
 """
 
 from __future__ import annotations
@@ -14,12 +18,14 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.ann import IVFIndex
 from lodestone.operators.blockmax import BlockedPostings
-from lodestone.operators.bm25 import corpus_size, document_weights, idf_table, postings, query_weights, sparse_vectors
+from lodestone.operators.bm25 import asked_only, document_weights, idf_of, postings, query_weights, sparse_search, sparse_vectors
 from lodestone.operators.chunks import with_dense_ids
 from lodestone.operators.fusion import rrf
 from lodestone.operators.graph import GraphIndex
 from lodestone.operators.predicates import matching
 from lodestone.operators.search import dense_search
+from lodestone.operators.tables import kept
+from lodestone.plans.commits import CommitLog
 from lodestone.schema import MAX_TEXT_BYTES
 
 
@@ -30,8 +36,17 @@ class CollectionExistsError(Exception):
 class Collection:
     """Rows (id, vector, text, metadata) under `path`."""
 
-    def __init__(self, spark: SparkSession, path: str, dimension: int, metric: str = "IP"):
-        self.spark, self.path, self.dimension, self.metric = spark, path.rstrip("/"), dimension, metric.upper()
+    def __init__(self, spark: SparkSession, path: str, dimension: int, metric: str = "IP", pinned: int | None = None):
+        self.spark, self.path, self.dimension, self.metric, self.pinned = spark, path.rstrip("/"), dimension, metric.upper(), pinned
+        self.log = CommitLog(spark, f"{self.path}/log")
+
+    def version(self) -> int:
+        """The version that is read: the pinned or the latest one; 0 before the first insert."""
+        return self.log.head().version if self.pinned is None else self.pinned
+
+    def at(self, version: int) -> Collection:
+        """The same collection as it was at a version, whatever is committed later; it can't be written."""
+        return Collection(self.spark, self.path, self.dimension, self.metric, version)
 
     def _fs(self, part: str = ""):
         target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}" if part else self.path)
@@ -60,39 +75,75 @@ class Collection:
         fs, target = self._fs(part)
         return bool(fs.exists(target))
 
+    def _committed(self, part: str) -> DataFrame:
+        """Rows of the committed batches of a table, with the first id of their batch; the log is a row a batch."""
+        return self._table(part).join(self.log.entries(self.pinned).select("batch", "first"), "batch")
+
+    def _numbered(self, part: str) -> DataFrame:
+        return self._committed(part).withColumn("id", F.col("id") + F.col("first")).drop("batch", "first")
+
     def rows(self) -> DataFrame:
-        return self._table("rows").drop("batch")
+        return self._numbered("rows")
 
-    def insert(self, rows: DataFrame) -> DataFrame:
+    def insert(self, rows: DataFrame, source: str | None = None) -> DataFrame:
         """Append rows (text, metadata, vector) and return their new ids with the texts.
 
         Vectors must have the collection's dimension and texts at most 65,535 bytes: a row
-        that doesn't fit fails the write, and nothing of it is kept.
+        that doesn't fit fails the write, and nothing of it is kept.  Rows of a named source are
+        appended once: if a batch of that name was committed before, nothing is written.
         """
         if not self.exists():
             raise FileNotFoundError(self.path)
-        first = (self.rows().agg(F.max("id").alias("m")).first()["m"] or 0) + 1 if self._has("rows") else 1
+        if self.pinned is not None:
+            raise ValueError("a collection at a version can't be written")
+        if source is not None and self.log.first_of(source) is not None:
+            return self.rows().select("id", "text").limit(0)
         fits = (F.size("vector") == self.dimension) & (F.octet_length("text") <= MAX_TEXT_BYTES)
         checked = rows.withColumn("text", F.when(fits, F.col("text")).otherwise(F.raise_error(F.lit("a row doesn't fit the collection"))))
-        numbered = with_dense_ids(checked, [F.xxhash64("text"), F.to_json("metadata")], "id").withColumn("id", F.col("id") + first)
-        part = f"{self.path}/rows/batch={uuid.uuid4().hex}"
-        numbered.select("id", "vector", "text", "metadata").write.parquet(part)
-        added = self.spark.read.parquet(part)
-        postings(added, "id", "text").write.parquet(f"{self.path}/counts/{part.rsplit('/', 1)[-1]}")
-        return added.select("id", "text")
+        batch = f"b{uuid.uuid4().hex}"
+        place = {part: f"{part}/batch={batch}" for part in ("rows", "counts", "terms")}
+        first = None
+        try:
+            numbered = with_dense_ids(checked, [F.xxhash64("text"), F.to_json("metadata")], "id")
+            numbered.select("id", "vector", "text", "metadata").write.parquet(f"{self.path}/{place['rows']}")
+            added = self._table(place["rows"])
+            postings(added, "id", "text").write.parquet(f"{self.path}/{place['counts']}")
+            counts = self._table(place["counts"])
+            counts.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{self.path}/{place['terms']}")
+            first = self.log.commit(batch, added.count(), counts.agg(F.sum("tf").alias("n")).first()["n"] or 0, source)
+        finally:
+            if first is None:  # it failed, or another writer had the source first
+                for part in place.values():
+                    fs, target = self._fs(part)
+                    fs.delete(target, True)
+        if first is None:
+            return self.rows().select("id", "text").limit(0)
+        return added.select((F.col("id") + first).alias("id"), "text")
+
+    def corpus_size(self) -> DataFrame:
+        """One row: n texts and avgdl, 1 where no text has a token; from the log alone."""
+        total = self.log.entries(self.pinned).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("_tokens"))
+        return total.select("n", F.coalesce(F.nullif(F.col("_tokens") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+
+    def idf(self, asked: DataFrame | None = None) -> DataFrame:
+        """term, df and idf over all committed batches; only of the terms of `asked` (term, ...) if it is given."""
+        batches = self._committed("terms").select("term", "df")
+        batches = batches if asked is None else asked_only(batches, asked)
+        return idf_of(batches.groupBy("term").agg(F.sum("df").alias("df")), self.corpus_size())
 
     def build_terms(self) -> None:
-        """(Re)weigh all rows from their kept term counts; run after inserts."""
-        found = self._table("counts")
-        size = corpus_size(self.rows().select("id"), found)
-        version = uuid.uuid4().hex
-        idf_table(found, size).write.parquet(f"{self.path}/weights/{version}/terms")
-        weights = document_weights(found, self.spark.read.parquet(f"{self.path}/weights/{version}/terms"), size)
+        """Weigh all rows from their kept counts, in blocks that bound what a search reads; until the next insert."""
+        covers, version = self.version(), uuid.uuid4().hex
+        then = self.at(covers)
+        then.idf().write.parquet(f"{self.path}/weights/{version}/terms")
+        weights = document_weights(then._numbered("counts"), self._table(f"weights/{version}/terms"), then.corpus_size())
         BlockedPostings(weights).save(f"{self.path}/weights/{version}")
-        self.spark.range(1).select(F.lit(version).alias("version")).write.mode("overwrite").parquet(f"{self.path}/current")
+        self.spark.range(1).select(F.lit(version).alias("version"), F.lit(covers).alias("covers")).write.mode("overwrite").parquet(f"{self.path}/current")
 
-    def _weights(self, part: str) -> DataFrame:
-        return self._table(f"weights/{self._table('current').first()['version']}/{part}")
+    def _weighed(self) -> str | None:
+        """Where the blocks lie that build_terms made of just the rows there are."""
+        now = self._table("current").first() if self._has("current") else None
+        return f"weights/{now['version']}" if now and now["covers"] == self.version() else None
 
     def build_index(self, nlist: int | None = None, graph: bool = False) -> None:
         """Deal all rows into the cells of an inverted file, or link them in a graph; run after inserts."""
@@ -114,10 +165,12 @@ class Collection:
 
     def count(self) -> int:
         """Rows; -1 if they can't be read."""
-        return self.rows().count() if self._has("rows") else (0 if self.exists() else -1)
+        return (self.log.entries(self.pinned).agg(F.sum("rows").alias("n")).first()["n"] or 0) if self.exists() else -1
 
     def sparse_vectors(self) -> DataFrame:
-        return self.rows().select("id").join(sparse_vectors(self._weights("postings")), "id", "left").withColumn("sparse_vector", F.coalesce("sparse_vector", F.expr("cast(map() as map<string,double>)")))
+        """id and its map of term to weight, by the statistics of the rows there are."""
+        weights = document_weights(self._numbered("counts"), self.idf(), self.corpus_size())
+        return self.rows().select("id").join(sparse_vectors(weights), "id", "left").withColumn("sparse_vector", F.coalesce("sparse_vector", F.expr("cast(map() as map<string,double>)")))
 
     def _hits(self, ranks: DataFrame) -> DataFrame:
         return ranks.join(self.rows().select("id", "text", "metadata"), "id")
@@ -133,10 +186,14 @@ class Collection:
         return self._hits(dense_search(queries, self.rows(), k, self.metric, threshold, expr))
 
     def _sparse(self, queries: DataFrame, k: int, threshold: float | None, expr: str | None) -> DataFrame:
-        version = self._table("current").first()["version"]
-        weights = query_weights(queries, "qid", "question", self._table(f"weights/{version}/terms"))
-        blocked = BlockedPostings.load(self.spark, f"{self.path}/weights/{version}")
-        return blocked.search(weights, k, threshold, matching(self.rows(), expr).select("id") if expr else None)
+        allowed = matching(self.rows(), expr).select("id") if expr else None
+        place = self._weighed()
+        if place:
+            weights = query_weights(queries, "qid", "question", self._table(f"{place}/terms"))
+            return BlockedPostings.load(self.spark, f"{self.path}/{place}").search(weights, k, threshold, allowed)
+        idf = kept(self.idf(postings(queries, "qid", "question")), "asked-idf")
+        found = asked_only(self._numbered("counts"), idf)
+        return sparse_search(query_weights(queries, "qid", "question", idf), document_weights(found, idf, self.corpus_size()), k, threshold, allowed)
 
     def keyword_search(self, queries: DataFrame, k: int = 5, threshold: float | None = None, expr: str | None = None) -> DataFrame:
         """queries (qid, question) -> hits; a question without known terms has none."""

@@ -11,14 +11,17 @@ from lodestone.schema import CHUNK
 
 
 def ingest_stream(spark: SparkSession, chunks_path: str, collection: Collection, embed: Embedder, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append the chunks (JSON lines) of files that appear under chunks_path; terms are weighed per batch."""
+    """Append the chunks (JSON lines) of files that appear under chunks_path.
+
+    An append costs work in its micro-batch alone.  The commit names the micro-batch, so one that
+    is run again after a failure adds nothing twice.
+    """
     if not collection.exists():
         collection.create()
 
-    def append(batch: DataFrame, _: int) -> None:
+    def append(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            collection.insert(embedded(batch, "text", embed, collection.dimension))
-            collection.build_terms()
+            collection.insert(embedded(batch, "text", embed, collection.dimension), source=f"{checkpoint}#{number}")
 
     stream = spark.readStream.schema(CHUNK).json(chunks_path)
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)

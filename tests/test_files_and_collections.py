@@ -2,6 +2,8 @@
 
 import io
 import json
+import shutil
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.errors import PySparkException
@@ -129,6 +131,55 @@ def test_collection(spark, tmp_path):
     assert not c.exists()
 
 
+def test_statistics_of_appended_batches(spark, tmp_path):
+    """Without weighing all rows again, searches after appends are those of a collection filled at once."""
+    embed = hashing_embedder(16)
+    asked = spark.createDataFrame([(0, "blood pain fever"), (1, "sugar cough sugar"), (2, "nothing known")], "qid int, question string")
+    more = ["blood in the cough", "", "pain pain pain", "sugar"]
+    whole, grown = Collection(spark, str(tmp_path / "whole"), 16), Collection(spark, str(tmp_path / "grown"), 16)
+    for c in (whole, grown):
+        c.create()
+    assert grown.version() == 0
+    whole.insert(rows_of(spark, [*TEXTS, *more], embed))
+    whole.build_terms()
+    for texts in (TEXTS, more[:1], more[1:]):
+        grown.insert(rows_of(spark, texts, embed))
+    hits = [{(r["qid"], r["text"], r["score"]) for r in c.keyword_search(asked, 10).collect()} for c in (whole, grown)]
+    assert hits[0] == hits[1] and len(hits[0]) > 5
+    assert not (tmp_path / "grown" / "weights").exists()
+    grown.build_terms()
+    assert {(r["qid"], r["text"], r["score"]) for r in grown.keyword_search(asked, 10).collect()} == hits[0]
+    vectors = [{(r["text"], tuple(sorted(r["sparse_vector"].items()))) for r in c.rows().join(c.sparse_vectors(), "id").collect()} for c in (whole, grown)]
+    assert vectors[0] == vectors[1]
+
+
+def test_commits(spark, tmp_path):
+    """Writers at once share no id, a lost write leaves nothing, a pinned reader sees no later row."""
+    embed = hashing_embedder(16)
+    c = Collection(spark, str(tmp_path / "c"), 16)
+    c.create()
+    c.insert(rows_of(spark, TEXTS, embed))
+    then = c.at(c.version())
+    with ThreadPoolExecutor(4) as pool:
+        written = list(pool.map(lambda i: [r["id"] for r in Collection(spark, c.path, 16).insert(rows_of(spark, [f"text {i} {j}" for j in range(i + 1)], embed)).collect()], range(4)))
+    ids = sorted(x for part in written for x in part)
+    assert ids == list(range(4, 14)) and sorted(r["id"] for r in c.rows().collect()) == list(range(1, 14))
+    assert c.version() == 5 and c.count() == 13
+    assert then.count() == 3 and then.rows().count() == 3 and {r["text"] for r in then.rows().collect()} == set(TEXTS)
+    assert then.keyword_search(spark.createDataFrame([(0, "text cough")], "qid int, question string"), 9).count() == 1
+    with pytest.raises(ValueError, match="version"):
+        then.insert(rows_of(spark, ["x"], embed))
+    with pytest.raises(PySparkException):
+        c.insert(rows_of(spark, ["x" * 70_000], embed))
+    assert len(list((tmp_path / "c" / "rows").glob("batch=*"))) == 5
+    # A writer that was lost before its commit: its files are there, and no one sees them.
+    shutil.copytree(next((tmp_path / "c" / "rows").glob("batch=*")), tmp_path / "c" / "rows" / "batch=lost")
+    assert c.rows().count() == 13
+    assert c.insert(rows_of(spark, ["once"], embed), source="a").count() == 1
+    assert c.insert(rows_of(spark, ["once"], embed), source="a").count() == 0 and c.count() == 14
+    assert c.log.commit("late", 1, 1, source="a") is None and c.version() == 6
+
+
 def test_build_and_stream(spark, tmp_path):
     meta = "struct<source:string,page:int,file_type:string,doc_name:string,chunk_id:bigint,chunk_index:int>"
     chunks = spark.createDataFrame([(t, ("s", 1, "txt", "d", i, i)) for i, t in enumerate(TEXTS)], f"text string, metadata {meta}")
