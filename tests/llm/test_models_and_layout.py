@@ -211,6 +211,26 @@ def test_shards_of_a_hot_group(spark):
     assert rows[rows.text == "same"].shard.nunique() == 14  # 400 rows at 30 a shard
 
 
+def test_large_groups_take_few_shards():
+    assert sharding.place_large([2000, 140, 60, 60], [150] * 40)[0] == {**{s: 150 for s in range(13)}, 13: 50}
+    assert sharding.place_large([2000, 140, 60, 60], [150] * 40)[1:] == [{14: 140}, {13: 60}, {15: 60}]
+    assert sharding.place_large([7], [3, 3, 3]) == [{0: 3, 1: 3, 2: 1}] and sharding.place_large([], [1]) == []
+
+
+def test_shards_without_single_rows(spark):
+    """Every row in a pair: under a twentieth of the pairs stay apart."""
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('pair ', id % 3000) as text")
+    rows = check_shards(docs).merge(docs.toPandas(), on="doc_id")
+    assert (rows.groupby("text").shard.nunique() > 1).sum() < 150
+
+
+def test_shards_of_a_hot_group_beside_small_ones(spark):
+    docs = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('small ', id % 1000)) as text")
+    rows = check_shards(docs).merge(docs.toPandas(), on="doc_id")
+    apart = rows.groupby("text").shard.nunique()
+    assert apart["hot"] == 14 and (apart.drop("hot") > 1).sum() < 0.1 * (len(apart) - 1)
+
+
 def test_shards_of_odd_tables(spark, odd, mixed):
     check_shards(odd)
     check_shards(mixed)
