@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,15 +22,55 @@ PageReader = Callable[[bytes], list[str]]
 
 
 def suffix(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    """The file type in lower case; a name that is nothing but a dot and letters has none."""
+    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
 
 
 def is_supported(path: Column) -> Column:
     return suffix(path).isin(*SUPPORTED)
 
 
+def _hidden(spark: SparkSession, path: str, recursive: bool) -> list[str]:
+    """Paths of supported files that Spark's readers leave out: a part of their names begins with _ or a dot."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    root, found = fs.getFileStatus(target).getPath().toString().rstrip("/"), []
+    listed = fs.listFiles(target, recursive)
+    while listed.hasNext():
+        name = listed.next().getPath().toString()
+        parts = name[len(root) + 1 :].split("/")
+        if any(x.startswith(("_", ".")) for x in parts) and parts[-1].lower().endswith(tuple(f".{x}" for x in SUPPORTED)):
+            found.append(name)
+    return found
+
+
+def _opened(names: DataFrame) -> DataFrame:
+    """path and content of the files of names (path), read one at a time where the tasks run."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                scheme, _, rest = path.partition(":")
+                if scheme == "file":
+                    store, name = arrow_fs.LocalFileSystem(), "/" + rest.lstrip("/")
+                else:
+                    host, _, inner = rest.removeprefix("//").partition("/")
+                    store, base = arrow_fs.FileSystem.from_uri(f"{scheme}://{host}/")
+                    name = f"{base.rstrip('/')}/{inner}"
+                with store.open_input_stream(name, compression=None) as file:
+                    yield pd.DataFrame({"path": [path], "content": [file.read()]})
+
+    return names.mapInPandas(read, "path string, content binary")
+
+
 def _files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+    """path and content of the files of a folder, those with hidden names too; only names pass through the driver."""
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "content")
+    names = _hidden(spark, path, recursive)
+    if not names:
+        return seen
+    hidden = spark.createDataFrame([(x,) for x in names], "path string").join(seen.select("path"), "path", "left_anti")
+    return seen.union(_opened(hidden))
 
 
 def _status(spark: SparkSession, path: str):
@@ -89,11 +130,13 @@ def load_document(spark: SparkSession, path: str, pages: PageReader | None = Non
     """Fragments of one file.  FileNotFoundError, or ValueError for a format that isn't supported."""
     if _status(spark, path) is None:
         raise FileNotFoundError(path)
-    kind = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    kind = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1][1:] else ""
     if kind not in SUPPORTED:
         raise ValueError(f"unsupported format: {kind or 'none'}")
     if kind == "pdf" and pages is None:
         raise RuntimeError("no PDF extractor was given")
     files = spark.read.format("binaryFile").load(path)
+    if path.rsplit("/", 1)[-1].startswith(("_", ".")):  # Spark's readers leave such names out
+        files = _opened(spark.createDataFrame([(_status(spark, path).getPath().toString(),)], "path string"))
     rows = text_fragments(files) if kind != "pdf" else pdf_fragments(files, pages, first_page, keep_blank)
     return rows.select("page_content", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("metadata")).alias("metadata"))

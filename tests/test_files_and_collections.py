@@ -213,3 +213,18 @@ def test_questions(spark, tmp_path):
     out = io.StringIO()
     converse(c, embed, ["blood sugar\n", "exit\n"], out, k=1)
     assert out.getvalue().startswith(TEXTS[1]) and "[1] s p.1" in out.getvalue()
+
+
+def test_hidden_names_are_read(spark, tmp_path):
+    (tmp_path / "_part").mkdir()
+    for name in ("plain.txt", "_name.md", ".name.txt", ".txt", "_part/deep one.TXT", "_part/_x.csv", "_a=b.md"):
+        (tmp_path / name).write_text(f"text of {name}", encoding="utf-8")
+    found, failed = load_directory(spark, str(tmp_path))
+    rows = sorted((r["metadata"]["doc_name"], r["page_content"]) for r in found.collect())
+    names = {".name.txt": ".name.txt", "_a=b.md": "_a=b.md", "_name.md": "_name.md", "deep one.TXT": "_part/deep one.TXT", "plain.txt": "plain.txt"}
+    assert rows == sorted((k, f"text of {v}") for k, v in names.items()) and failed.count() == 0
+    flat = load_directory(spark, str(tmp_path), recursive=False)[0]
+    assert {r["metadata"]["doc_name"] for r in flat.collect()} == {".name.txt", "_a=b.md", "_name.md", "plain.txt"}
+    assert [r["page_content"] for r in load_document(spark, str(tmp_path / "_name.md")).collect()] == ["text of _name.md"]
+    with pytest.raises(ValueError):
+        load_document(spark, str(tmp_path / ".txt"))
