@@ -7,9 +7,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import TOKEN_BREAKS, tokens
 from lodestone.operators.ann import IVFIndex, cells
 from lodestone.operators.blockmax import BlockedPostings
-from lodestone.operators.bm25 import corpus_size, document_weights, idf_table, postings, query_weights, sparse_search, sparse_vectors
+from lodestone.operators.bm25 import asked_postings, corpus_size, document_weights, idf_table, postings, query_weights, sparse_search, sparse_vectors, text_size
 from lodestone.operators.embedding import EmbeddingError, embed_cached, embedded, hashing_embedder, with_retries
 from lodestone.operators.fusion import rrf
 from lodestone.operators.predicates import FilterError, matching, to_sql
@@ -41,6 +42,26 @@ def test_bm25_equals_a_plain_loop(spark):
     assert len(sparse_vectors(weights).collect()) == 4
 
 
+def test_postings_shuffle_no_terms_and_add_up_repeated_ids(spark):
+    rows = [(1, "a b a"), (2, "b"), (None, "c c"), (None, "c d"), (3, ""), (4, None), (2, "b e")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    want = {(1, "a"): 2, (1, "b"): 1, (2, "b"): 2, (2, "e"): 1, (None, "c"): 3, (None, "d"): 1}
+    assert {(r["id"], r["term"]): r["tf"] for r in postings(docs, "id", "text").collect()} == want
+    once = postings(docs.filter("id = 1 or text = ''"), "id", "text")
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    part = asked_postings(docs, "id", "text", spark.createDataFrame([("b",), ("c",), ("z",)], "term string"))
+    assert {(r["id"], r["term"]): r["tf"] for r in part.filter("term is not null").collect()} == {k: n for k, n in want.items() if k[1] in "bc"}
+    assert corpus_size(docs, part).collect() == corpus_size(docs, postings(docs, "id", "text")).collect() == text_size(docs, "text").collect()
+
+
+def test_tokens_break_where_the_whole_class_does(spark):
+    odd = "".join(map(chr, [*range(0x3100), *range(0x4DFE, 0x4E05), *range(0x9FFA, 0xA003), *range(0xFF00, 0xFF20)]))
+    texts = ["a".join(odd), odd, "A 'b  c\x1f\x00d\x7f ", "一" * 50_000 + "é" + " " * 50_000 + "x", "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), TOKEN_BREAKS, -1), lambda t: t != "")
+    assert docs.filter(~tokens(F.col("text")).eqNullSafe(plain)).count() == 0
+
+
 def test_sparse_search_filters_before_the_cut(spark):
     weights, terms = bm25(spark)
     asked = query_weights(spark.createDataFrame([(0, "heart")], "qid int, question string"), "qid", "question", terms)
