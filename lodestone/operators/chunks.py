@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators.tables import kept
+from lodestone.operators.tables import kept, shipped
 from lodestone.operators.splitting import SEPARATORS, greedy_split, recursive_split
 
+#: Bytes of texts that a worker splits at a time.
+TOGETHER = 1 << 20
+
 
 @dataclass(frozen=True)
 class ChunkSettings:
@@ -37,21 +43,50 @@ def fixed_windows(text: Column, settings: ChunkSettings) -> Column:
     return F.when(F.char_length(text) > 0, cut).otherwise(F.array().cast("array<string>"))
 
 
-def recursive_chunks_udf(settings: ChunkSettings, greedy: bool = False):
-    """The splitters carry state from piece to piece, so they run as an Arrow UDF, a text at a time."""
+def give_back() -> None:
+    """Free memory goes back to the machine: Spark keeps idle workers, and they what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's own, where it has one
+    if trim:
+        trim(0)
+
+
+def split_batches(settings: ChunkSettings, greedy: bool = False):
+    """For mapInArrow over rows (..., text): the other columns, chunk_index and chunk, a row a chunk.
+
+    The splitters carry state from piece to piece, so a text is split whole; of a batch, texts of some
+    TOGETHER bytes are split at a time, so a worker holds no more chunks than those of that many.
+    """
     split = greedy_split if greedy else recursive_split
     args = (settings.chunk_size, settings.chunk_overlap, settings.separators)
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split(t, *args) if t else [])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, batch.num_rows * TOGETHER // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                chunks = [split(t, *args) if t else [] for t in part.column(part.num_columns - 1).to_pylist()]
+                sizes = list(map(len, chunks))
+                rows = part.take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                index = pa.array(np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in sizes)]))
+                chunk = pa.array([c for x in chunks for c in x], pa.string())
+                names = [*part.schema.names[:-1], "chunk_index", "chunk"]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], index, chunk], names)
+                del part, chunks, rows, chunk
+            give_back()
 
-    return F.pandas_udf(run, T.ArrayType(T.StringType()))
+    return run
 
 
 def exploded_chunks(docs: DataFrame, text: str, settings: ChunkSettings, how: str = "recursive") -> DataFrame:
     """docs without the text, with chunk_index and chunk; chunks that are too short are dropped after numbering."""
-    parts = fixed_windows(F.col(text), settings) if how == "fixed" else recursive_chunks_udf(settings, how == "greedy")(F.col(text))
-    rows = docs.withColumn("_parts", parts).drop(text).select("*", F.posexplode("_parts").alias("chunk_index", "chunk")).drop("_parts")
+    others = docs.drop(text)
+    if how == "fixed":
+        rows = docs.withColumn("_parts", fixed_windows(F.col(text), settings)).drop(text).select("*", F.posexplode("_parts").alias("chunk_index", "chunk")).drop("_parts")
+    else:
+        shipped(docs.sparkSession)
+        shape = T.StructType([*others.schema.fields, T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk", T.StringType())])
+        rows = docs.select(*[F.col(f"`{c}`") for c in others.columns], F.col(text)).mapInArrow(split_batches(settings, how == "greedy"), shape)
     return rows.filter(F.char_length("chunk") >= settings.min_chunk_length)
 
 

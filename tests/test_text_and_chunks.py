@@ -100,3 +100,20 @@ def test_settings_and_statistics(spark):
     row = chunk_statistics(chunks, "source", 2, ChunkSettings()).first()
     assert (row["files_processed"], row["chunks_generated"], row["avg_chunks_per_file"]) == (2, 3, 1.5)
     assert chunk_statistics(chunks.limit(0), "source", 0, ChunkSettings()).first()["avg_chunks_per_file"] == 0
+
+
+@pytest.mark.parametrize("greedy", [False, True])
+def test_a_batch_is_split_a_few_texts_at_a_time(monkeypatch, greedy):
+    import pyarrow as pa
+
+    from lodestone.operators import chunks
+    from lodestone.operators.splitting import greedy_split, recursive_split
+
+    monkeypatch.setattr(chunks, "TOGETHER", 4000)
+    texts = ["word " * (3 * i) for i in range(60)] + [None, "", "x" * 3000]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "text": texts})
+    out = list(chunks.split_batches(chunks.ChunkSettings(), greedy)(iter([batch])))
+    assert len(out) > 5 and max(x.nbytes for x in out) < batch.nbytes / 2
+    split = greedy_split if greedy else recursive_split
+    want = [(k, i, c) for k, t in enumerate(texts) for i, c in enumerate(split(t) if t else [])]
+    assert [(r["k"], r["chunk_index"], r["chunk"]) for x in out for r in x.to_pylist()] == want
