@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import TOKEN_BREAKS, tokens
 from lodestone.operators.ann import IVFIndex, cells
-from lodestone.operators.blockmax import BlockedPostings
+from lodestone.operators.blockmax import BlockedPostings, blocked
 from lodestone.operators.bm25 import asked_postings, corpus_size, document_weights, idf_table, postings, query_weights, sparse_search, sparse_vectors, text_size
 from lodestone.operators.embedding import EmbeddingError, embed_cached, embedded, hashing_embedder, with_retries
 from lodestone.operators.fusion import rrf
@@ -90,6 +90,24 @@ def test_blocks_give_what_all_postings_give(spark, tmp_path):
     assert BlockedPostings(weights.limit(0)).search(asked, 4).count() == 0
 
 
+def test_blocked_query_indexes_the_terms_that_are_asked(spark, monkeypatch):
+    """Postings that no question can meet aren't dealt, and those that are go through one shuffle."""
+    from lodestone import queries
+
+    given = []
+    monkeypatch.setattr(queries, "BlockedPostings", lambda weights, **options: given.append(weights) or BlockedPostings(weights, **options))
+    sf = "/root/testdata/sf0.001"
+    found = queries.bm25_blockmax(spark, sf)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, queries.bm25_search(spark, sf).collect()))
+    questions = postings(queries.text_queries(spark, sf), "qid", "question").select("term")
+    assert given[0].join(questions, "term", "left_anti").count() == 0 < given[0].count()
+    stored = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (2, "b", 0.5)], "id long, term string, w double")
+    index = BlockedPostings(stored)
+    assert sorted(map(tuple, index.weights().collect())) == [(1, "a", 1.0), (2, "a", 2.0), (2, "b", 0.5)]
+    plan = blocked(stored, texts=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 VECTORS = [(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b"), (3, [1.0, 0.0], "b"), (4, [0.5, 0.5], "a")]
 
 
