@@ -137,7 +137,7 @@ class Collection:
         then = self.at(covers)
         then.idf().write.parquet(f"{self.path}/weights/{version}/terms")
         weights = document_weights(then._numbered("counts"), self._table(f"weights/{version}/terms"), then.corpus_size())
-        BlockedPostings(weights).save(f"{self.path}/weights/{version}")
+        BlockedPostings.write(weights, f"{self.path}/weights/{version}", then.count())
         self.spark.range(1).select(F.lit(version).alias("version"), F.lit(covers).alias("covers")).write.mode("overwrite").parquet(f"{self.path}/current")
 
     def _weighed(self) -> str | None:
@@ -168,8 +168,9 @@ class Collection:
         return (self.log.entries(self.pinned).agg(F.sum("rows").alias("n")).first()["n"] or 0) if self.exists() else -1
 
     def sparse_vectors(self) -> DataFrame:
-        """id and its map of term to weight, by the statistics of the rows there are."""
-        weights = document_weights(self._numbered("counts"), self.idf(), self.corpus_size())
+        """id and its map of term to weight, by the statistics of the rows there are; from what build_terms made of them, if it did."""
+        place = self._weighed()
+        weights = BlockedPostings.load(self.spark, f"{self.path}/{place}").weights() if place else document_weights(self._numbered("counts"), self.idf(), self.corpus_size())
         return self.rows().select("id").join(sparse_vectors(weights), "id", "left").withColumn("sparse_vector", F.coalesce("sparse_vector", F.expr("cast(map() as map<string,double>)")))
 
     def _hits(self, ranks: DataFrame) -> DataFrame:

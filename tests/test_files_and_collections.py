@@ -228,3 +228,18 @@ def test_hidden_names_are_read(spark, tmp_path):
     assert [r["page_content"] for r in load_document(spark, str(tmp_path / "_name.md")).collect()] == ["text of _name.md"]
     with pytest.raises(ValueError):
         load_document(spark, str(tmp_path / ".txt"))
+
+
+def test_sparse_vectors_come_from_the_blocks_that_cover_all_rows(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "c"), 2)
+    c.create()
+    rows = spark.createDataFrame([("heart pain pain", {"n": "1"}, [1.0, 0.0]), ("heart", {"n": "2"}, [0.0, 1.0]), ("", {"n": "3"}, [0.0, 0.0])], "text string, metadata map<string,string>, vector array<float>")
+    rows = rows.withColumn("metadata", F.struct(F.col("metadata")["n"].alias("n")))
+    c.insert(rows)
+    before = sorted((r["id"], sorted(r["sparse_vector"].items())) for r in c.sparse_vectors().collect())
+    c.build_terms()
+    read = c.sparse_vectors().inputFiles()
+    assert any("/blocks/" in x for x in read) and not any("/counts/" in x for x in read)
+    assert sorted((r["id"], sorted(r["sparse_vector"].items())) for r in c.sparse_vectors().collect()) == before and before
+    c.insert(rows)
+    assert any("/counts/" in x for x in c.sparse_vectors().inputFiles()) and c.sparse_vectors().count() == 6
