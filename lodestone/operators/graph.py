@@ -8,7 +8,7 @@ way, and a row keeps the nearest of both.
 
 A search compares the top layer whole.  Below, a round takes each query's best `beam` rows so far,
 follows the links of those that it hasn't followed, joins the ids that the query hasn't met with the
-graph and keeps the best again.  It ends when no query has a row left to follow, then goes
+graph and keeps the best again; a round writes the beams and the ids newly met, not what was met before.  It ends when no query has a row left to follow, then goes
 on a layer below.  Every round is a table, so lost executors cost one round.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import METRICS
 from lodestone.operators.ann import IVFIndex, cells
+from lodestone.operators.bm25 import sent
 from lodestone.operators.kernel import Best, matrix
 from lodestone.operators.ranking import ranked
 from lodestone.operators.search import checked_metric, dense_search
@@ -134,27 +135,30 @@ class GraphIndex:
         starts = dense_search(asked.select("qid", F.col("_query").alias("vector")), top, beam, self.metric).select("qid", "id", "score")
         held, at = kept_at(starts, "graph-beam")
         for graph in reversed(self.layers[:-1]):
-            # All that a query has met in this layer, and whether its links were followed.
-            met, met_at = kept_at(held.withColumn("followed", F.lit(False)), "graph-met")
+            # Each query's beam, and whether links were followed; what leaves a beam never comes back, so of all
+            # that a query has met in this layer only the ids are kept, a table a round that isn't written again.
+            best, best_at = kept_at(held.withColumn("followed", F.lit(False)), "graph-best")
+            met_at, pair = [best_at], best.select("qid", "id").schema
             while True:
-                best = met.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= beam)
                 open_rows = best.filter(~F.col("followed")).select("qid", "id")
                 followed = open_rows.join(graph.select("id", "links"), "id").select("qid", F.explode("links").alias("id")).distinct()
-                fresh, fresh_at = kept_at(followed.join(met.select("qid", "id"), ["qid", "id"], "left_anti"), "graph-fresh")
+                met = spark.read.schema(pair).parquet(*met_at).join(sent(open_rows.select("qid").distinct()), "qid", "left_semi")
+                fresh, fresh_at = kept_at(followed.join(met, ["qid", "id"], "left_anti"), "graph-met")
                 n = fresh.count()
+                met_at.append(fresh_at)
                 if not n:
-                    discard(spark, fresh_at)
                     break
                 self.compared += n
-                scored = fresh.join(graph.select("id", "vector"), "id").join(asked, "qid").select("qid", "id", score(F.col("_query"), F.col("vector")).alias("score"), F.lit(False).alias("followed")).filter(F.col("score").isNotNull())
-                old = met.join(open_rows.withColumn("_now", F.lit(True)), ["qid", "id"], "left").select("qid", "id", "score", (F.col("followed") | F.coalesce("_now", F.lit(False))).alias("followed"))
-                after, after_at = kept_at(old.unionByName(scored), "graph-met")
-                discard(spark, met_at)
-                discard(spark, fresh_at)
-                met, met_at = after, after_at
-            best = met.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= beam).select("qid", "id", "score")
+                scored = fresh.join(graph.select("id", "vector"), "id").join(asked, "qid").select("qid", "id", score(F.col("_query"), F.col("vector")).alias("score"), F.lit(True).alias("_new")).filter(F.col("score").isNotNull())
+                both = best.select("qid", "id", "score", F.lit(False).alias("_new")).unionByName(scored)
+                placed = both.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= beam)
+                after, after_at = kept_at(placed.select("qid", "id", "score", (~F.col("_new")).alias("followed")), "graph-best")
+                if best_at not in met_at:
+                    discard(spark, best_at)
+                best, best_at = after, after_at
             discard(spark, at)
-            held, at = kept_at(best, "graph-beam")
-            discard(spark, met_at)
+            held, at = kept_at(best.select("qid", "id", "score"), "graph-beam")
+            for old in {*met_at, best_at}:
+                discard(spark, old)
         discard(spark, asked_at)
         return ranked(held, k, descending=descending)

@@ -55,3 +55,23 @@ def test_collection_uses_its_indexes(spark, tmp_path):
     assert len(pairs(made.approximate_search(asked, beam=64)) & exact) >= 0.9 * len(exact)
     made.insert(rows.limit(1).select(F.lit("new").alias("text"), F.struct(F.lit(1).cast("long").alias("n")).alias("metadata"), F.col("embedding").alias("vector")))
     assert not made._covered("index") and len(pairs(made.search(asked))) == len(exact)
+
+
+def test_rounds_write_beams_and_what_is_new(spark, monkeypatch):
+    """No table of a search but that of a round's new ids is longer than the beams, and no pair is met twice."""
+    from lodestone.operators import graph as module
+
+    written, keep = [], module.kept_at
+
+    def counted(rows, tag):
+        made = keep(rows, tag)
+        written.append((tag, made[0].count()))
+        return made
+
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = vectors.filter("id % 100 = 0").select(F.col("id").alias("qid"), "vector")
+    index = GraphIndex(vectors, links=4)
+    monkeypatch.setattr(module, "kept_at", counted)
+    found = pairs(index.search(asked, 5, 8))
+    assert found and max(n for tag, n in written if tag != "graph-met") <= 8 * asked.count()
+    assert 0 < sum(n for tag, n in written if tag == "graph-met") <= asked.count() * sum(layer.count() for layer in index.layers)
